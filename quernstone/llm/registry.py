@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, quality
+from . import attribution, bpe, lines, orc, packing, quality
 from .common import table
 from .oracles import ORACLES
 from .tokens import public_tokenizer
@@ -22,11 +22,23 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizer(WORD_TOKENIZER))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizer(WORD_TOKENIZER))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op4_bpe_encoding, op7_line_dedup)}
+def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orc.write_and_digest(table(spark, sf_dir, "documents"), public_tokenizer(BYTE_TOKENIZER))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.section_tokens(table(spark, sf_dir, "documents"), public_tokenizer(BYTE_TOKENIZER))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op4_bpe_encoding, op6_packing, op7_line_dedup, op9_token_orc, op10_token_counts)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
