@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, bpe, lines, orc, packing, quality
+from . import attribution, bpe, lines, orc, packing, quality, simhash
 from .common import table
 from .oracles import ORACLES
 from .tokens import public_tokenizer
@@ -30,6 +30,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest_lines(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=2)
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc.write_and_digest(table(spark, sf_dir, "documents"), public_tokenizer(BYTE_TOKENIZER))
 
@@ -38,7 +42,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.section_tokens(table(spark, sf_dir, "documents"), public_tokenizer(BYTE_TOKENIZER))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op4_bpe_encoding, op6_packing, op7_line_dedup, op9_token_orc, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op4_bpe_encoding, op6_packing, op7_line_dedup, op8_simhash_dedup, op9_token_orc, op10_token_counts)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
