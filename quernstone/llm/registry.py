@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, bpe, lines, orc, packing, quality, simhash
+from . import attribution, bpe, lines, multiindex, orc, packing, quality, simhash
 from .common import table
 from .oracles import ORACLES
 from .tokens import public_tokenizer
@@ -18,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizer(WORD_TOKENIZER))
 
@@ -42,7 +46,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.section_tokens(table(spark, sf_dir, "documents"), public_tokenizer(BYTE_TOKENIZER))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op4_bpe_encoding, op6_packing, op7_line_dedup, op8_simhash_dedup, op9_token_orc, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op4_bpe_encoding, op6_packing, op7_line_dedup, op8_simhash_dedup, op9_token_orc, op10_token_counts)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
