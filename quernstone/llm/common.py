@@ -83,3 +83,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def discard(written: DataFrame) -> None:
+    """Deletes the files of a materialized table that nothing reads any more, and lets Spark drop shuffle files of dead plans."""
+    spark = written.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    spark._jvm.System.gc()
