@@ -3,8 +3,8 @@
 Equal windows of LENGTH bytes hold the same least hash of their short substrings (their
 anchor), so windows are dealt out by anchor: runs of windows that share an anchor
 become one context, its text long enough for all of them. Anchors of one context alone
-need no look at texts: all its windows repeat, or none. For the others, the distinct
-contexts are cut from the texts and their windows compared by suffix arrays (suffixes.py).
+need no look at texts, unless the anchor comes twice in it: all its windows repeat, or
+none. For the others, the distinct contexts are cut from the texts and their windows compared by suffix arrays (suffixes.py).
 An anchor with more than HOT distinct contexts isn't held by a task: the hashes of its
 windows (128 bits) are counted, combined before the shuffle. Spans go back to the texts.
 """
@@ -67,10 +67,11 @@ def anchor_size(length: int) -> int:
     return size
 
 
-def contexts(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, number of windows) of the text's runs of windows with one anchor."""
+def contexts(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
+    """(anchor, first window, number of windows, whether the anchor comes twice) of the text's runs of windows with one anchor."""
     size = anchor_size(length)
-    least = window_minima(substring_hashes(np.frombuffer(raw, np.uint8), size), length - size + 1)
+    hashes = substring_hashes(np.frombuffer(raw, np.uint8), size)
+    least = window_minima(hashes, length - size + 1)
     new = np.concatenate(([True], least[1:] != least[:-1]))
     first = np.flatnonzero(new)
     count = np.diff(np.concatenate((first, [len(least)])))
@@ -79,8 +80,11 @@ def contexts(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         anchors, count = np.repeat(least[first], parts), np.minimum(RUN, np.repeat(count, parts) - RUN * inner)
         first = np.repeat(first, parts) + RUN * inner
-        return anchors, first, count
-    return least[first], first, count
+    else:
+        anchors = least[first]
+    # Two equal windows of one run hold the anchor at two places.
+    twice = [np.count_nonzero(hashes[a:b] == v) > 1 for a, b, v in zip(first.tolist(), (first + count + length - size).tolist(), anchors, strict=True)]
+    return anchors, first, count, twice
 
 
 def _occurrences(length: int):
@@ -90,15 +94,16 @@ def _occurrences(length: int):
         digest = xxhash.xxh3_64_intdigest
         for whole in batches:
             for part in slices(whole, "text", 4 << 20):
-                at, anchors, firsts, counts, hashes = [], [], [], [], []
+                at, anchors, firsts, counts, twice, hashes = [], [], [], [], [], []
                 for row, raw in enumerate(part.column(2).to_pylist()):
                     if len(raw) < length:
                         continue
-                    a, f, c = contexts(raw, length)
+                    a, f, c, t = contexts(raw, length)
                     at.append(np.full(len(a), row, np.int32))
                     anchors.append(a)
                     firsts.append(f)
                     counts.append(c)
+                    twice += t
                     hashes += [digest(raw[s:e]) for s, e in zip(f.tolist(), (f + c + length - 1).tolist(), strict=True)]
                 if not at:
                     continue
@@ -111,8 +116,9 @@ def _occurrences(length: int):
                         pa.array(np.array(hashes, np.uint64).view(np.int64)),
                         pa.array(np.concatenate(firsts), pa.int32()),
                         pa.array(np.concatenate(counts), pa.int32()),
+                        pa.array(twice, pa.bool_()),
                     ],
-                    ["_k1", "_k2", "_anchor", "_context", "_first", "_count"],
+                    ["_k1", "_k2", "_anchor", "_context", "_first", "_count", "_twice"],
                 )
 
     return run
@@ -202,9 +208,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     if length < 12:
         raise ValueError("length must be 12 or more")
     keyed = docs.select(*row_key("doc_id", "text"), text_bytes())
-    occurrences = materialize(arrow_map(keyed, _occurrences(length), "_k1 long, _k2 long, _anchor long, _context long, _first int, _count int"), "substring-runs")
-    anchors = materialize(occurrences.groupBy("_anchor").agg(F.count("*").alias("_n"), F.min("_context").alias("_c1"), F.max("_context").alias("_c2")).where("_n > 1").select("_anchor", (F.col("_c1") < F.col("_c2")).alias("_differ")), "substring-anchors")
-    shared = materialize(occurrences.join(checked(anchors), "_anchor"), "substring-shared")
+    occurrences = materialize(arrow_map(keyed, _occurrences(length), "_k1 long, _k2 long, _anchor long, _context long, _first int, _count int, _twice boolean"), "substring-runs")
+    anchors = materialize(occurrences.groupBy("_anchor").agg(F.count("*").alias("_n"), F.min("_context").alias("_c1"), F.max("_context").alias("_c2"), F.max("_twice").alias("_t")).where("_n > 1 or _t").select("_anchor", ((F.col("_c1") < F.col("_c2")) | F.col("_t")).alias("_differ")), "substring-anchors")
+    shared = materialize(occurrences.drop("_twice").join(checked(anchors), "_anchor"), "substring-shared")
     discard(occurrences)
     # Where an anchor's contexts differ, each distinct one is taken from one document.
     distinct = materialize(shared.where("_differ").groupBy("_anchor", "_context").agg(F.count("*").alias("_n"), F.min(F.struct("_k1", "_k2", "_first", "_count")).alias("_at")), "substring-contexts")
