@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, bpe, lines, multiindex, orc, packing, quality, simhash, substrings
+from . import attribution, bpe, language, lines, multiindex, orc, packing, quality, simhash, substrings
 from .common import table
 from .oracles import ORACLES
 from .tokens import public_tokenizer
@@ -22,6 +22,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizer(WORD_TOKENIZER))
 
@@ -50,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.section_tokens(table(spark, sf_dir, "documents"), public_tokenizer(BYTE_TOKENIZER))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op4_bpe_encoding, op5_suffix_dedup, op6_packing, op7_line_dedup, op8_simhash_dedup, op9_token_orc, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_language_id, op4_bpe_encoding, op5_suffix_dedup, op6_packing, op7_line_dedup, op8_simhash_dedup, op9_token_orc, op10_token_counts)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
