@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -62,7 +63,7 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"")).alias(name)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with workers that can import this package."""
     importable(df.sparkSession)
     return df.mapInArrow(fn, schema)
@@ -92,3 +93,24 @@ def discard(written: DataFrame) -> None:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     spark._jvm.System.gc()
+
+
+def retexted(df: DataFrame, schema: T.StructType, extra: str, fn: Callable[[bytes, object], bytes]) -> DataFrame:
+    """Rows of `schema` from those of `df`: text becomes fn(text as bytes, the row's `extra`), n_chars its code points where there is such a column.
+
+    A null text stays null. Bytes that are no whole character are left out.
+    """
+    names = schema.names
+    counted = [f.name for f in schema.fields if f.name == "n_chars" and isinstance(f.dataType, T.IntegralType)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            sized = whole.append_column("_size", whole.column("text").cast(pa.binary()))
+            for part in slices(sized, "_size"):
+                texts = [None if t is None else fn(t, x).decode(errors="ignore") for t, x in zip(part.column("_size").to_pylist(), part.column(extra).to_pylist(), strict=True)]
+                made = {"text": pa.array(texts, part.column("text").type)}
+                for n in counted:
+                    made[n] = pa.array([old if t is None else len(t) for t, old in zip(texts, part.column(n).to_pylist(), strict=True)], part.column(n).type)
+                yield pa.RecordBatch.from_arrays([made.get(n, part.column(n)) for n in names], names)
+
+    return arrow_map(df, run, schema)

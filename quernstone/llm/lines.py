@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, row_key, slices, text_bytes
+from .common import arrow_map, materialize, retexted, row_key, slices, text_bytes
 
 _SPACES = b" \t\n\x0b\x0c\r"
 
@@ -94,7 +94,7 @@ def dropped_positions(docs: DataFrame, least_chars: int = 10, least_docs: int =
     return losing.groupBy("_k1", "_k2").agg(F.collect_set("_pos").alias("_drop"))
 
 
-def _with_drops(docs: DataFrame, least_chars: int, least_docs: int, keep: tuple[str, ...] = ()) -> DataFrame:
+def _with_drops(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
     drops = materialize(dropped_positions(docs, least_chars, least_docs), "line-drops")
     return docs.select("doc_id", *row_key("doc_id", "text"), text_bytes()).join(drops, ["_k1", "_k2"], "left").select("doc_id", "_k1", "_k2", "text", "_drop")
 
@@ -113,3 +113,14 @@ def dedup_lines(docs: DataFrame, least_chars: int = 10, least_docs: int = 2) ->
 def digest_lines(docs: DataFrame, least_chars: int = 10, least_docs: int = 2) -> DataFrame:
     """dedup_lines with the sha256 of what is left in its place."""
     return arrow_map(_with_drops(docs, least_chars, least_docs), _digested, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+
+
+def drop_repeated_lines(docs: DataFrame, least_chars: int = 10, least_docs: int = 2) -> DataFrame:
+    """The rows of `docs`, all of them and with all their columns, their texts without the lines that dedup_lines drops. A null text stays null."""
+    drops = materialize(dropped_positions(docs, least_chars, least_docs), "line-drops")
+
+    def left(text: bytes, drop) -> bytes:
+        gone = set(drop or ())
+        return b"\n".join([x for p, x in enumerate(text.split(b"\n")) if p not in gone]) if gone else text
+
+    return retexted(docs.select("*", *row_key("doc_id", "text")).join(drops, ["_k1", "_k2"], "left"), docs.schema, "_drop", left)

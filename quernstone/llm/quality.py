@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, materialize, slices, text_bytes
 
@@ -121,6 +122,13 @@ def quality_verdicts(docs: DataFrame, max_host_rate: float = 0.5, **limits: int)
     """
     spark = docs.sparkSession
     measured = materialize(measures(docs), "quality-measures")
+    judged = _with_hosts(measured, _rejected(measured, max_host_rate, limits))
+    failed = rules(**limits)["too_short"] | rules(**limits)["repetitive"]
+    return judged.select("doc_id", "source", *MEASURES, failed.alias("base_failed"), F.coalesce("_rejected", F.lit(False)).alias("host_rejected")).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+
+
+def _rejected(measured: DataFrame, max_host_rate: float, limits: dict[str, int]) -> DataFrame:
+    """Rows (_host, _rejected) of the hosts that are over the limit."""
     named = rules(**limits)
     hosts = materialize(
         measured.where(F.col("source").isNotNull()).groupBy("source").agg(F.count("*").alias("n_docs"), *(F.sum(c.cast("long")).alias(r) for r, c in named.items())),
@@ -130,8 +138,31 @@ def quality_verdicts(docs: DataFrame, max_host_rate: float = 0.5, **limits: int)
     for rule in named:
         a, b = beta_prior(hosts, rule)
         over = over | ((F.col(rule) + F.lit(a)) / (F.col("n_docs") + F.lit(a + b)) > F.lit(max_host_rate))
-    rejected = materialize(hosts.where(over).select(F.col("source").alias("_host"), F.lit(True).alias("_rejected")), "quality-rejected")
+    return materialize(hosts.where(over).select(F.col("source").alias("_host"), F.lit(True).alias("_rejected")), "quality-rejected")
+
+
+def _with_hosts(rows: DataFrame, rejected: DataFrame) -> DataFrame:
     few = rejected.count() <= BROADCAST_HOSTS
-    judged = measured.join(F.broadcast(rejected) if few else rejected, F.col("source") == F.col("_host"), "left")
-    failed = named["too_short"] | named["repetitive"]
-    return judged.select("doc_id", "source", *MEASURES, failed.alias("base_failed"), F.coalesce("_rejected", F.lit(False)).alias("host_rejected")).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    return rows.join(F.broadcast(rejected) if few else rejected, F.col("source").cast("string") == F.col("_host"), "left")
+
+
+def keep_good(docs: DataFrame, max_host_rate: float = 0.5, **limits: int) -> DataFrame:
+    """The rows of `docs` that quality_verdicts keeps, with all their columns. Texts are measured twice rather than shuffled."""
+    rejected = _rejected(materialize(measures(docs), "quality-measures"), max_host_rate, limits)
+    schema = docs.schema
+    extended = T.StructType([*schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])
+    names = list(range(len(schema.fields)))
+    # positions for names: a column of `docs` may be called like a measure
+    apart = docs.toDF(*(f"_{i}" for i in names))
+    text, source = (f"_{schema.names.index(c)}" for c in ("text", "source"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            sized = whole.append_column("_size", whole.column(text).cast(pa.binary()))
+            for part in slices(sized, "_size"):
+                columns = zip(*(measure(t or b"") for t in part.column("_size").to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, pa.int64()) for c in columns)], [*whole.schema.names, *MEASURES])
+
+    measured = arrow_map(apart, run, T.StructType([T.StructField(f"_{i}", f.dataType) for i, f in enumerate(schema.fields)] + extended.fields[len(names) :]))
+    fine = measured.where(~(rules(**limits)["too_short"] | rules(**limits)["repetitive"])).withColumn("source", F.col(source))
+    return _with_hosts(fine, rejected).where(F.col("_rejected").isNull()).select(*(F.col(f"_{i}").alias(n) for i, n in enumerate(schema.names)))

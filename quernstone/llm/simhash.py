@@ -1,6 +1,6 @@
 """SimHash near-dedup with deletion-variant signatures.
 
-Fingerprints that differ by at most d bits are cut into d // 2 + 1 segments, so that
+Fingerprints that differ by at most d bits are cut into d // 2 + 1 segments (two at least), so that
 one segment differs by one bit at most. Each segment is indexed once per bit with that
 bit as a wildcard: two fingerprints within reach share such a variant. Equal
 fingerprints are one class and indexed once. Variants are brought together by an
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, slices, text_bytes
+from .common import arrow_map, materialize, row_key, slices, text_bytes
 from .components import checked, components
 
 BITS = 64
@@ -57,15 +57,15 @@ def _fingerprinted(words: int):
 
         for whole in batches:
             for part in slices(whole, "text"):
-                prints = np.array([fingerprint(t, words) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints)], ["doc_id", "_fp"])
+                prints = np.array([fingerprint(t, words) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_k1"), part.column("_k2"), pa.array(prints)], ["doc_id", "_k1", "_k2", "_fp"])
 
     return run
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
     """(lowest bit, number of bits) of the segments for a distance."""
-    m = distance // 2 + 1
+    m = max(2, distance // 2 + 1)
     cuts = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -229,10 +229,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 3, bucket:
     other. Repeated rows are linked by their equal fingerprints; a null doc_id is never the
     least (null only if all of a group are). Other columns are ignored.
     """
-    prints = materialize(arrow_map(docs.select("doc_id", text_bytes()), _fingerprinted(words), "doc_id long, _fp long"), "simhash-prints")
+    return _grouped(docs, words, distance, bucket).select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, words: int, distance: int, bucket: int) -> DataFrame:
+    """Rows (doc_id, _k1, _k2, _fp, component_id); _k1 and _k2 are row_key of doc_id and text."""
+    prints = materialize(arrow_map(docs.select("doc_id", *row_key("doc_id", "text"), text_bytes()), _fingerprinted(words), "doc_id long, _k1 long, _k2 long, _fp long"), "simhash-prints")
     classes = materialize(prints.groupBy("_fp").agg(F.min("doc_id").alias("_least")), "simhash-classes")
     roots = components(fingerprint_links(classes, distance, bucket), "_a", "_b")
     rooted = materialize(classes.join(checked(roots), classes["_fp"] == roots["node"], "left").select("_fp", F.coalesce("root", "_fp").alias("_root"), "_least"), "simhash-rooted")
     least = materialize(rooted.groupBy("_root").agg(F.min("_least").alias("component_id")), "simhash-least-ids")
     named = materialize(rooted.select("_fp", "_root").join(checked(least), "_root").select("_fp", "component_id"), "simhash-named")
-    return prints.join(checked(named), "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(checked(named), "_fp")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """The rows of `docs`, with all their columns, that near_duplicates puts first: one document of each group, the least doc_id.
+
+    Rows that are equal in doc_id and text are one document and one of them stays. Rows without
+    doc_id go if their group has one with; a group of such rows alone keeps its different texts.
+    """
+    grouped = _grouped(docs, words, distance, bucket)
+    # by row: whether it goes; and rows of which there are several
+    judged = grouped.groupBy("_k1", "_k2").agg(F.count("*").alias("_n"), F.max(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_gone")).where("_n > 1 or _gone")
+    judged = materialize(judged, "simhash-judged")
+    keyed = docs.select("*", *row_key("doc_id", "text")).join(checked(judged), ["_k1", "_k2"], "left")
+    single = keyed.where(F.col("_n").isNull()).select(*docs.columns)
+    if judged.where("not _gone").isEmpty():
+        return single
+    return single.unionByName(keyed.where(~F.col("_gone")).dropDuplicates(["_k1", "_k2"]).select(*docs.columns))

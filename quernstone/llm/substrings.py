@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, materialize, row_key, slices, text_bytes
+from .common import arrow_map, discard, materialize, retexted, row_key, slices, text_bytes
 from .components import checked
 from .suffixes import repeated_windows
 
@@ -294,3 +294,20 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
 def digest_repeats(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
     """remove_repeats with the sha256 of what is left in its place."""
     return arrow_map(_with_spans(docs, length, hot), _removed(True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def drop_repeats(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
+    """The rows of `docs`, all of them and with all their columns, their texts without what remove_repeats removes.
+
+    Bytes left of a character that was cut go as well. A null text stays null.
+    """
+    spans = materialize(repeated_spans(docs, length, hot), "substring-spans")
+
+    def left(text: bytes, own) -> bytes:
+        kept, at = [], 0
+        for a, b in merged([(s["a"], s["b"]) for s in own or ()]):
+            kept.append(text[at:a])
+            at = b
+        return b"".join([*kept, text[at:]])
+
+    return retexted(docs.select("*", *row_key("doc_id", "text")).join(spans, ["_k1", "_k2"], "left"), docs.schema, "_spans", left)
