@@ -33,21 +33,25 @@ class SpanEncoder(Encoder):
         # A vocabulary string has one character for each byte; special tokens have their own text.
         self.bytes_of = {i: len(s) for s, i in self.spec["model"]["vocab"].items()} | {i: len(s.encode()) for s, i in self.special.items()}
 
-    def keep(self, pieces):
+    def value(self, piece: str, ids: list[int]):
         import numpy as np
 
-        spans, chars, n = [], 0, 0
-        for piece, ids in pieces:
-            at, raw = 0, None if piece.isascii() else piece.encode()
+        ends = np.cumsum([self.bytes_of[i] for i in ids])
+        starts = ends - [self.bytes_of[i] for i in ids]
+        if not piece.isascii():
             # of each byte, the character that it belongs to
-            char = None if raw is None else np.cumsum([(b & 0xC0) != 0x80 for b in raw]) - 1
-            for i in ids:
-                to = at + self.bytes_of[i]
-                spans.append((chars + at, chars + to) if char is None else (chars + int(char[at]), chars + int(char[to - 1]) + 1))
-                at = to
-            chars += len(piece)
-            n += len(ids)
-        return chars, n, np.array(spans, "<i4").tobytes()
+            char = np.cumsum([(b & 0xC0) != 0x80 for b in piece.encode()]) - 1
+            starts, ends = char[starts], char[ends - 1] + 1
+        return len(piece), len(ids), np.stack((starts, ends), 1).astype("<i4").tobytes()
+
+    def combine(self, values: list):
+        import numpy as np
+
+        if not values:
+            return 0, 0, b""
+        chars, n, spans = zip(*values, strict=True)
+        base = np.repeat(np.cumsum((0, *chars[:-1])), n)
+        return sum(chars), sum(n), (np.frombuffer(b"".join(spans), "<i4").reshape(-1, 2) + base[:, None]).astype("<i4").tobytes()
 
     def spans(self, text: str):
         """The tokens' character spans, an array of (start, end)."""

@@ -68,10 +68,12 @@ class MergeEncoder(Encoder):
                 heappush(queue, (r, h))
         return [x for x in ids if x >= 0]
 
-    def keep(self, pieces: list[tuple[str, list[int]]]) -> tuple[bytes, bytes]:
-        ids = [i for _, own in pieces for i in own]
+    def value(self, piece: str, ids: list[int]) -> tuple[bytes, bytes]:
         return le32(ids), self.join([self.strings[i] for i in ids])
 
+    def combine(self, values: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+        return b"".join([v[0] for v in values]), (b"" if self.decoder == "ByteLevel" else b" ").join([v[1] for v in values if v[0]])
+
     def join(self, strings: list[str]) -> bytes:
         """Vocabulary strings as decoded bytes: one space between them where the file names no decoder, else the bytes that they stand for."""
         if self.decoder == "ByteLevel":

@@ -4,7 +4,8 @@ A language repeats its words, so a text is cut at white space, where these token
 cut as well, and each distinct word is encoded once per worker: cut into pieces by the
 tokenizer's own pattern, each piece merged by `merge`. Texts that hold characters
 outside SAFE, or space runs that a cut could change, go another way that asks the
-library, so no result depends on two Unicode tables agreeing.
+library, so no result depends on two Unicode tables agreeing. Words differ more than
+pieces (a word can end in a comma, or two lines meet in it), so both are remembered.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ SAFE = "\x00-\x1b\x20-įı-ɏ–—‘’“”…€"
 #: The two pre-tokenisation patterns that the fast path knows, as the tokenizer files state them.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words remembered per worker process, in two generations; about 200 bytes each.
+#: Words, and as many pieces, remembered per worker process, in two generations; about 200 bytes each.
 REMEMBERED = 250_000
 
 
@@ -83,33 +84,41 @@ class Encoder:
         self.cut = regex.compile(WORDS if self.lower else BYTES).findall
         self.odd = re.compile(f"[^{SAFE}]" if self.lower else f"[^{SAFE}]|\\s \\s" if self.spaced else "").search
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.ascii = {b: c for b, c in enumerate(self.symbols[:128]) if chr(b) != c}
         self.words = Remembered(self.encode_word, remembered)
+        self.pieces = Remembered(lambda piece: self.value(piece, self.merge(piece)), remembered)
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece."""
-        symbols = self.symbols
-        return [t.id for t in self.model.tokenize("".join([symbols[b] for b in piece.encode()]))]
+        letters = piece.translate(self.ascii) if piece.isascii() else "".join([self.symbols[b] for b in piece.encode()])
+        return [t.id for t in self.model.tokenize(letters)]
 
-    def keep(self, pieces: list[tuple[str, list[int]]]):
-        """What is remembered of a word, from its pieces and their ids."""
-        return le32([i for _, ids in pieces for i in ids])
+    def value(self, piece: str, ids: list[int]):
+        """What is remembered of a piece."""
+        return le32(ids)
+
+    def combine(self, values: list):
+        """What is remembered of a word, from its pieces' values."""
+        return b"".join(values)
 
     def encode_word(self, word: str):
-        return self.keep([(p, self.merge(p)) for p in self.cut(" " + word if self.spaced else word)])
+        own = self.cut(" " + word if self.spaced else word)
+        return self.pieces[own[0]] if len(own) == 1 else self.combine([self.pieces[p] for p in own])
 
-    def library_pieces(self, text: str) -> list[tuple[str, list[int]]]:
-        """Pieces as the library itself cuts them, of a text without special tokens; each with its ids."""
+    def through_library(self, text: str):
+        """Value of a text without special tokens, cut by the library itself."""
         if self.library.normalizer is not None:
             text = self.library.normalizer.normalize_str(text)
-        return [(text[a:b], self.merge(text[a:b])) for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        own = [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return self.combine([self.value(p, self.merge(p)) for p in own])
 
     def segment(self, text: str) -> list:
         if self.odd(text):
-            return [self.keep(self.library_pieces(text))]
+            return [self.through_library(text)]
         if self.lower:
             return list(map(self.words.__getitem__, text.lower().split()))
         first, *rest = text.split(" ")
-        return [self.keep([(p, self.merge(p)) for p in self.cut(first)]), *map(self.words.__getitem__, rest)]
+        return [self.combine([self.pieces[p] for p in self.cut(first)]), *map(self.words.__getitem__, rest)]
 
     def values(self, text: str) -> list:
         """What is remembered of the text's words, in order. Special tokens are found in the text as it stands."""
@@ -118,7 +127,7 @@ class Encoder:
         out: list = []
         for part in self.at_special.split(text):
             if part in self.special:
-                out.append(self.keep([(part, [self.special[part]])]))
+                out.append(self.value(part, [self.special[part]]))
             elif part:
                 out += self.segment(part)
         return out
