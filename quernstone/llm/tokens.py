@@ -24,8 +24,9 @@ SAFE = "\x00-\x1b\x20-įı-ɏ–—‘’“”…€"
 #: The two pre-tokenisation patterns that the fast path knows, as the tokenizer files state them.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words, and as many pieces, remembered per worker process, in two generations; about 200 bytes each.
-REMEMBERED = 250_000
+#: Words remembered per worker process, and a quarter as many pieces, in two generations; about 200 bytes each.
+REMEMBERED = 500_000
+_SIGNS = tuple(".,;:!?")
 
 
 class Remembered(dict):
@@ -84,13 +85,17 @@ class Encoder:
         self.cut = regex.compile(WORDS if self.lower else BYTES).findall
         self.odd = re.compile(f"[^{SAFE}]" if self.lower else f"[^{SAFE}]|\\s \\s" if self.spaced else "").search
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.space = self.symbols[32]
         self.ascii = {b: c for b, c in enumerate(self.symbols[:128]) if chr(b) != c}
         self.words = Remembered(self.encode_word, remembered)
-        self.pieces = Remembered(lambda piece: self.value(piece, self.merge(piece)), remembered)
+        self.pieces = Remembered(lambda piece: self.value(piece, self.merge(piece)), remembered // 4)
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece."""
-        letters = piece.translate(self.ascii) if piece.isascii() else "".join([self.symbols[b] for b in piece.encode()])
+        if piece.isascii():
+            letters = piece.replace(" ", self.space) if piece.isprintable() else piece.translate(self.ascii)
+        else:
+            letters = "".join([self.symbols[b] for b in piece.encode()])
         return [t.id for t in self.model.tokenize(letters)]
 
     def value(self, piece: str, ids: list[int]):
@@ -102,8 +107,16 @@ class Encoder:
         return b"".join(values)
 
     def encode_word(self, word: str):
-        own = self.cut(" " + word if self.spaced else word)
-        return self.pieces[own[0]] if len(own) == 1 else self.combine([self.pieces[p] for p in own])
+        """The value of a new word. Letters alone are one piece, and a sign or line feed behind or between words is a piece of its own."""
+        if word.isalpha():
+            piece = " " + word if self.spaced else word
+            return self.value(piece, self.merge(piece))
+        if word[-1:] in _SIGNS and word[-2:-1].isalpha():
+            return self.combine([self.words[word[:-1]], self.pieces[word[-1]]])
+        before, feed, after = word.partition("\n")
+        if feed and self.spaced and before and after and "\n" not in after and not before[-1].isspace() and not after[0].isspace():
+            return self.combine([self.words[before], self.pieces[feed], *(self.pieces[p] for p in self.cut(after))])
+        return self.combine([self.pieces[p] for p in self.cut(" " + word if self.spaced else word)])
 
     def through_library(self, text: str):
         """Value of a text without special tokens, cut by the library itself."""
