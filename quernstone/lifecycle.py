@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -46,6 +47,7 @@ class QueryManager:
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, slots: int = 4):
         self.spark, self.tables = spark, tables or {}
+        self._mark = uuid.uuid4().hex  # managers of one context don't share tags
         self._lock, self._slots, self._queries = threading.RLock(), threading.Semaphore(max(1, slots)), {}
 
     def submit(self, query: str | bytes | DataFrame | ir.Node | None = None, *, plan: str | bytes | None = None, priority: int = 0, timeout_ms: int = 0) -> str:
@@ -80,6 +82,9 @@ class QueryManager:
             raise InvalidArgument(str(wrong).splitlines()[0]) from wrong
         return lambda: df
 
+    def _tag(self, own: Query) -> str:
+        return f"{self._mark}-{own.id}"
+
     def _to(self, own: Query, state: str) -> bool:
         with self._lock:
             if state not in NEXT.get(own.state, ()):
@@ -93,7 +98,7 @@ class QueryManager:
         with self._slots:
             if not self._to(own, RUNNING):
                 return
-            self.spark.sparkContext.addJobTag(own.id)
+            self.spark.sparkContext.addJobTag(self._tag(own))
             try:
                 table = own.make().toArrow()
                 with self._lock:
@@ -106,14 +111,14 @@ class QueryManager:
                         own.error_message = str(wrong).splitlines()[0] if str(wrong) else type(wrong).__name__
                 self._to(own, FAILED)
             finally:
-                self.spark.sparkContext.removeJobTag(own.id)
+                self.spark.sparkContext.removeJobTag(self._tag(own))
 
     def _late(self, own: Query, timeout_ms: int) -> None:
         with self._lock:
             if own.state in NEXT:
                 own.error_message = f"took longer than {timeout_ms} ms"
                 self._to(own, CANCELLED)
-        self.spark.sparkContext.cancelJobsWithTag(own.id)
+        self.spark.sparkContext.cancelJobsWithTag(self._tag(own))
 
     def _of(self, query_id: str) -> Query:
         with self._lock:
@@ -124,8 +129,8 @@ class QueryManager:
     def status(self, query_id: str) -> dict:
         """state, error_message (the first failure, else empty), and Spark's active jobs of the query."""
         own = self._of(query_id)
-        tracker = self.spark.sparkContext.statusTracker()
-        jobs = [j for j in tracker.getJobIdsForTag(query_id) if (i := tracker.getJobInfo(j)) and i.status == "RUNNING"]
+        active = set(self.spark.sparkContext.statusTracker().getActiveJobsIds())
+        jobs = active & set(self.spark.sparkContext._jsc.sc().statusTracker().getJobIdsForTag(self._tag(own)))
         return {"query_id": own.id, "state": own.state, "error_message": own.error_message, "priority": own.priority, "active_jobs": sorted(jobs)}
 
     def wait(self, query_id: str, seconds: float | None = None) -> str:
@@ -135,8 +140,7 @@ class QueryManager:
 
     def metrics(self, query_id: str) -> DataFrame:
         """A row per task: when it ran, rows and bytes that it put out."""
-        self._of(query_id)
-        return self.spark.createDataFrame(task_rows(self.spark, query_id, query_id), TASKS)
+        return self.spark.createDataFrame(task_rows(self.spark, query_id, self._tag(self._of(query_id))), TASKS)
 
     def fetch(self, query_id: str) -> Iterator[bytes]:
         """The result in order, as Arrow IPC chunks; only once the query has SUCCEEDED."""
@@ -150,7 +154,7 @@ class QueryManager:
         own = self._of(query_id)
         if not self._to(own, CANCELLED):
             raise FailedPrecondition(f"{query_id} is {own.state}")
-        self.spark.sparkContext.cancelJobsWithTag(query_id)
+        self.spark.sparkContext.cancelJobsWithTag(self._tag(own))
 
 
 __all__ = ["CANCELLED", "FAILED", "QUEUED", "RUNNING", "SUCCEEDED", "EngineError", "QueryManager"]
