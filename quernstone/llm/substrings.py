@@ -5,8 +5,9 @@ anchor), so windows are dealt out by anchor: runs of windows that share an ancho
 become one context, its text long enough for all of them. Anchors of one context alone
 need no look at texts, unless the anchor comes twice in it: all its windows repeat, or
 none. For the others, the distinct contexts are cut from the texts and their windows compared by suffix arrays (suffixes.py).
-An anchor with more than HOT distinct contexts isn't held by a task: the hashes of its
-windows (128 bits) are counted, combined before the shuffle. Spans go back to the texts.
+An anchor with more than HOT distinct contexts isn't held by a task: its windows are dealt
+out anew, in blocks with what they have in common, and hashes (128 bits) of blocks and at
+last of windows are counted, combined before the shuffle. Spans go back to the texts.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .suffixes import repeated_windows
 RUN = 256
 #: Distinct contexts of an anchor that one task holds (under 500 bytes each).
 HOT = 1_000
+#: Windows of a block of a hot anchor's context.
+BLOCK = 8
 #: Bytes of contexts that go into one suffix array, about.
 BATCH = 1 << 18
 
@@ -176,24 +179,64 @@ def _compared(length: int):
     return run
 
 
-def _window_hashes(length: int):
+def _blocks(length: int):
+    """Blocks of windows of the contexts of hot anchors.
+
+    A window's distance to its anchor's first place in it is the same in equal windows, so windows
+    of one context are cut into blocks by that distance, BLOCK at a time. What all windows of
+    a block have in common (_b1, _b2) deals the blocks out anew; _sub tells blocks of one text apart.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        digest = xxhash.xxh3_128_digest
+        digest, short = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
+        size = anchor_size(length)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                raw = part.column("_bytes").to_pylist()
-                counts = np.array([len(b) - length + 1 for b in raw])
-                two = np.frombuffer(b"".join([digest(b[s : s + length]) for b, n in zip(raw, counts.tolist(), strict=True) for s in range(n)]), "<i8").reshape(-1, 2)
-                take = pa.array(np.repeat(np.arange(len(raw)), counts))
-                start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                yield pa.RecordBatch.from_arrays([part.column("_anchor").take(take), part.column("_context").take(take), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(start, pa.int32())], ["_anchor", "_context", "_w1", "_w2", "_start"])
+                rows = []
+                for anchor, context, raw in zip(*(part.column(c).to_pylist() for c in ("_anchor", "_context", "_bytes")), strict=True):
+                    n = len(raw) - length + 1
+                    places = np.flatnonzero(substring_hashes(np.frombuffer(raw, np.uint8), size).view(np.int64) == anchor)
+                    start = np.arange(n)
+                    place = places[np.searchsorted(places, start)]
+                    level = (place - start) // BLOCK
+                    cuts = np.flatnonzero(np.diff(place) | np.diff(level)) + 1
+                    windows = [digest(raw[s : s + length]) for s in range(n)]
+                    for first, end in zip([0, *cuts.tolist()], [*cuts.tolist(), n], strict=True):
+                        top = int(place[first] - level[first] * BLOCK)  # the last window that the block can have
+                        core = digest(b"%d %d " % (anchor, level[first]) + raw[top : top + length - BLOCK + 1])
+                        own = b"".join(windows[first:end])
+                        two = np.frombuffer(own, "<i8").reshape(-1, 2)
+                        rows.append((anchor, context, *np.frombuffer(core, "<i8").tolist(), short(own) - (1 << 63), first, two[:, 0].tolist(), two[:, 1].tolist()))
+                if rows:
+                    kinds = [pa.int64()] * 5 + [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["_anchor", "_context", "_b1", "_b2", "_sub", "_from", "_w1", "_w2"])
 
     return run
 
 
+def _hot_windows(contexts_: DataFrame, length: int) -> DataFrame:
+    """Rows (_anchor, _context, _runs) of the repeated windows of hot anchors' distinct contexts.
+
+    Blocks go the way of contexts: alone with what they have in common, they have no repeated
+    window; all of one text, they repeat as a whole; only where texts differ are windows counted
+    one by one, once for each different text.
+    """
+    key = ["_b1", "_b2"]
+    blocks = materialize(arrow_map(contexts_, _blocks(length), "_anchor long, _context long, _b1 long, _b2 long, _sub long, _from int, _w1 array<long>, _w2 array<long>"), "substring-blocks")
+    cores = materialize(blocks.groupBy(*key).agg(F.count("*").alias("_n"), F.min("_sub").alias("_s1"), F.max("_sub").alias("_s2")).where("_n > 1").select(*key, (F.col("_s1") < F.col("_s2")).alias("_differ")), "substring-cores")
+    shared = materialize(blocks.join(checked(cores), key), "substring-shared-blocks")
+    texts = materialize(shared.where("_differ").groupBy(*key, "_sub").agg(F.count("*").alias("_n"), F.any_value("_w1").alias("_w1"), F.any_value("_w2").alias("_w2")), "substring-block-texts")
+    windows = texts.select(*key, "_sub", "_n", F.posexplode(F.arrays_zip("_w1", "_w2")).alias("_at", "_w")).select(*key, "_sub", "_n", "_at", "_w._w1", "_w._w2")
+    often = materialize(windows.groupBy("_w1", "_w2").agg(F.sum("_n").alias("_n")).where("_n > 1").select("_w1", "_w2"), "substring-often")
+    hits = materialize(windows.join(checked(often), ["_w1", "_w2"]).groupBy(*key, "_sub").agg(F.collect_list("_at").alias("_hits")), "substring-hits")
+    entire = shared.where(~F.col("_differ")).select("_anchor", "_context", F.sequence(F.col("_from"), F.col("_from") + F.size("_w1") - 1).alias("_s"))
+    some = shared.where("_differ").join(hits, [*key, "_sub"]).select("_anchor", "_context", F.transform("_hits", lambda h: h + F.col("_from")).alias("_s"))
+    return arrow_map(entire.unionByName(some).groupBy("_anchor", "_context").agg(F.flatten(F.collect_list("_s")).alias("_starts")), _to_runs, "_anchor long, _context long, _runs array<int>")
+
+
 def _to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         runs = [runs_of(np.unique(x)) for x in b.column("_starts").to_pylist()]
@@ -224,10 +267,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     found = materialize(arrow_map(cold.repartition("_anchor").sortWithinPartitions("_anchor"), _compared(length), "_anchor long, _context long, _runs array<int>"), "substring-found")
     if some_hot:
         distinct_hot = texts.join(checked(crowded), "_anchor", "left_semi").dropDuplicates(["_anchor", "_context"])
-        hashes = materialize(arrow_map(distinct_hot, _window_hashes(length), "_anchor long, _context long, _w1 long, _w2 long, _start int"), "substring-hashes")
-        often = materialize(hashes.groupBy("_w1", "_w2").agg(F.count("*").alias("_n")).where("_n > 1").select("_w1", "_w2"), "substring-often")
-        again = hashes.join(checked(often), ["_w1", "_w2"]).groupBy("_anchor", "_context").agg(F.collect_list("_start").alias("_starts"))
-        found = found.unionByName(materialize(arrow_map(again, _to_runs, "_anchor long, _context long, _runs array<int>"), "substring-found-hot"))
+        found = found.unionByName(materialize(_hot_windows(distinct_hot, length), "substring-found-hot"))
     # A context that occurs twice repeats as a whole.
     whole = distinct.where("_n > 1").select("_anchor", "_context", F.lit(True).alias("_whole"))
     verdicts = materialize(found.select("_anchor", "_context", "_runs").join(whole, ["_anchor", "_context"], "full"), "substring-verdicts")
