@@ -27,6 +27,9 @@ BYTES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Words remembered per worker process, and a quarter as many pieces, in two generations; about 200 bytes each.
 REMEMBERED = 500_000
 _SIGNS = tuple(".,;:!?")
+#: ASCII characters outside SAFE; and what a text holds if it has a space between spaces.
+_CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
+_PAIRS = tuple(f"{c} " for c in " \n\t\r\x0b\x0c\x85\xa0")
 
 
 class Remembered(dict):
@@ -83,13 +86,21 @@ class Encoder:
         self.lower = plain and steps == ["NFC", "Replace", "Lowercase"] and len(cutters) == 2 and cutters[0].get("pattern") == {"Regex": WORDS} and cutters[0]["invert"] and not cutters[1]["use_regex"]
         self.spaced = plain and not normal and cutter.get("type") == "ByteLevel" and cutter["use_regex"] and not cutter["add_prefix_space"]
         self.cut = regex.compile(WORDS if self.lower else BYTES).findall
-        self.odd = re.compile(f"[^{SAFE}]" if self.lower else f"[^{SAFE}]|\\s \\s" if self.spaced else "").search
+        self.unsafe, self.wide = re.compile(f"[^{SAFE}]").search, re.compile(r"\s \s").search
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.space = self.symbols[32]
         self.ascii = {b: c for b, c in enumerate(self.symbols[:128]) if chr(b) != c}
         self.words = Remembered(self.encode_word, remembered)
         self.pieces = Remembered(lambda piece: self.value(piece, self.merge(piece)), remembered // 4)
 
+    def odd(self, text: str) -> bool:
+        """Whether the text can't be cut at its spaces: characters outside SAFE, or a space between spaces where those are part of pieces."""
+        if any(c in text for c in _CONTROLS) if text.isascii() else self.unsafe(text):
+            return True
+        if self.spaced:
+            return any(p in text for p in _PAIRS) and bool(self.wide(text))
+        return not self.lower
+
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece."""
         if piece.isascii():
