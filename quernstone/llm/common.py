@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,7 +43,29 @@ _OWN: dict[str, str] = {}
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+_WRITTEN: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that this process has materialized: to be called when no result that reads them is needed any more."""
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@atexit.register
+def _remove_own() -> None:
+    for folder in _OWN.values():
+        shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
 
 
 def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
@@ -90,8 +114,7 @@ def discard(written: DataFrame) -> None:
     """Deletes the files of a materialized table that nothing reads any more, and lets Spark drop shuffle files of dead plans."""
     spark = written.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(spark, path)
     spark._jvm.System.gc()
 
 

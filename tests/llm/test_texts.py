@@ -1,6 +1,7 @@
 """Operators on single texts, lines and substrings, against their contracts written plainly."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.llm import attribution, bpe, lines, orc, packing, quality, substrings, suffixes
-from quernstone.llm.common import materialize
+from quernstone.llm.common import clean, materialize
 from quernstone.llm.tokens import Encoder, Remembered, le32, public_tokenizer
 from tests.llm.corpus import frame, rows, same, words
 
@@ -341,3 +342,11 @@ def test_section_tokens(docs, pairs, nothing):
 
 def test_materialized_rows_are_the_same(docs):
     assert same(map(tuple, materialize(docs, "test").collect()), map(tuple, docs.collect()))
+
+
+def test_written_tables_can_be_cleaned(spark):
+    written = materialize(spark.range(5), "test")
+    file = written.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(file) and written.count() == 5
+    clean(spark)
+    assert not os.path.exists(file)
