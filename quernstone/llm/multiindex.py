@@ -6,11 +6,14 @@ A query visits cells in order of the sum of its two distances (the multi-sequenc
 traversal: a frontier over two sorted lists), as many as it takes for the target recall
 on links that just reach the threshold; cosines are verified in double precision.
 
-Equal vectors are one class and indexed once. Where a cell holds many vectors, those
-within half the threshold's angle of the cell's mean direction are linked with each
-other by the triangle inequality and never compared; what is left of a hot cell is
-split into blocks that meet pairwise. A pair that both sides can find counts in the
-cell with the smaller number. Tasks pass on sums and spanning forests, never pairs.
+Equal vectors are one class and indexed once. Dense regions are found in a sample and
+kept out of the index: a region has the vectors within the threshold's angle of its
+centre. Those within half of it, its core, are linked with each other by the triangle
+inequality and never compared; its rim, and whatever lies near enough outside to reach a
+member, meets it in blocks, so links of a region's members are complete. The index has
+the rest; a hot cell is split into blocks that meet pairwise. A pair that both sides can
+find counts in the cell with the smaller number. Tasks pass on sums and spanning forests,
+never pairs.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ SAMPLE, CENTROIDS = 65_536, 4_096
 PER_CELL = 32
 #: Members of a cell from which it is hot, which is also the size of its blocks; probes that meet a block in one task.
 HOT, PROBES = 512, 8_192
-#: Mean directions of hot cells that are tried as centres, at most (the fullest cells first); the others' pairs are all compared.
-CENTRES = 1_000
+#: Sample rows that dense regions are looked for in; how many of them make a region, at least; blocks of a region are so many times a hot cell's.
+DENSE, CLOSE, WIDE = 8_192, 16, 8
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -106,7 +109,26 @@ class Index:
         return out
 
 
-def fit(sample: np.ndarray, total: int, threshold: float, recall: float = 0.995, most_visits: int = 128, per_cell: int = PER_CELL) -> Index:
+def dense_centres(sample: np.ndarray, total: int, threshold: float, hot: int = HOT) -> np.ndarray:
+    """Mean directions of the regions of unit rows `sample` (of `total` vectors) that hold about `hot` vectors or more within the threshold's angle."""
+    rng = np.random.default_rng(13)
+    x = sample if len(sample) <= DENSE else sample[rng.choice(len(sample), DENSE, replace=False)]
+    near = np.concatenate([x[a : a + 512] @ x.T >= threshold for a in range(0, len(x), 512)])
+    count, alive, centres = near.sum(1), np.ones(len(x), bool), []
+    least = max(CLOSE, hot * len(x) / total)
+    while len(x) and (count[first := int(count.argmax())]) >= least:
+        centre = x[near[first] & alive].mean(0)
+        centre /= max(np.linalg.norm(centre), 1e-12)
+        gone = alive & (x @ centre >= threshold)
+        gone[first] = True
+        centres.append(centre)
+        alive &= ~gone
+        count -= near[:, gone].sum(1)
+        count[~alive] = 0
+    return np.array(centres).reshape(-1, x.shape[1])
+
+
+def fit(sample: np.ndarray, total: int, threshold: float, recall: float = 0.995, per_cell: int = PER_CELL) -> Index:
     """Codebooks for `total` vectors from unit rows `sample`, and the visits that find `recall` of links that just reach `threshold`.
 
     Those links are made up from sample rows, each with a random partner at exactly the
@@ -132,7 +154,7 @@ def fit(sample: np.ndarray, total: int, threshold: float, recall: float = 0.995,
         return np.array([np.searchsorted(a2[r], own[r] - a1[r], "left").sum() for r in rows])
 
     needed = np.sort(np.minimum(rank(x, y), rank(y, x))) + 1
-    index.visits = int(min(most_visits, k * k, max(4, needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])))
+    index.visits = int(min(k * k, max(4, needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])))
     return index
 
 
@@ -141,69 +163,100 @@ def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _placed(index: Index, kind: str, centres: np.ndarray | None, cosine: float):
+def _placed(index: Index, kind: str, centres: np.ndarray, threshold: float):
+    """Region g's core is cell -2g-1 and its rim -2g-2. _meets has the cells of regions that hold what a row may link with, each pair of regions once."""
+    angle, slack = float(np.arccos(min(1.0, threshold))), 1e-9
+    half, reach, far = (float(np.cos(min(np.pi, x))) for x in (angle / 2 - slack, 1.5 * angle + slack, 2 * angle + slack))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 2048):
                 batch = whole.slice(k, 2048)
                 unit = unit_rows(batch.column("_vec").to_pylist(), kind)
-                cells = index.cells(unit)
-                group = np.full(len(unit), -1, np.int64)
-                if centres is not None and len(centres):
+                n, rows = len(unit), np.arange(len(unit))
+                own, core, meets = np.full(n, -1), np.zeros(n, bool), (np.empty(0, np.int64), np.empty(0, np.int64))
+                if len(centres):
                     close = unit @ centres.T
                     best = close.argmax(1)
-                    group = np.where(close[np.arange(len(unit)), best] >= cosine, best, -1)
-                visits = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1) * cells.shape[1], pa.int32()), pa.array(cells.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("_node"), batch.column("_n"), batch.column("_vec"), pa.array(cells[:, 0].copy()), visits, pa.array(group)], ["_node", "_n", "_vec", "_home", "_visits", "_group"])
+                    own = np.where(close[rows, best] >= threshold, best, -1)
+                    core = (own >= 0) & (close[rows, best] >= half)
+                    before = (own[:, None] < 0) | (np.arange(len(centres)) < own[:, None])
+                    to_core, to_rim = before & (close >= reach - slack), before & (close >= far - slack)
+                    rim = np.flatnonzero((own >= 0) & ~core)
+                    to_core[rim, own[rim]] = True
+                    (i, g), (j, h) = np.nonzero(to_core), np.nonzero(to_rim)
+                    meets = np.concatenate((i, j)), np.concatenate((-2 * g - 1, -2 * h - 2))
+                order = np.argsort(meets[0], kind="stable")
+                ends = np.concatenate(([0], np.cumsum(np.bincount(meets[0], minlength=n)))).astype(np.int32)
+                out = np.flatnonzero(own < 0)
+                cells = index.cells(unit[out]) if len(out) else np.empty((0, 1), np.int64)
+                home = np.where(core, -2 * own - 1, -2 * own - 2)
+                home[out] = cells[:, 0]
+                starts = np.concatenate(([0], np.cumsum(np.where(own < 0, cells.shape[1], 0)))).astype(np.int32)
+                visits = pa.ListArray.from_arrays(pa.array(starts), pa.array(cells.ravel()))
+                met = pa.ListArray.from_arrays(pa.array(ends), pa.array(meets[1][order].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("_node"), batch.column("_n"), batch.column("_vec"), pa.array(home.astype(np.int64)), visits, met], ["_node", "_n", "_vec", "_home", "_visits", "_meets"])
 
     return run
 
 
+def _joined(forest: Forest, hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Links left[i] with right[j] where hit[i, j]; what one link of each j joins already isn't listed."""
+    j = np.flatnonzero(hit.any(0))
+    forest.link(left[hit.argmax(0)[j]], right[j])
+    label = forest.roots()
+    i, j = np.nonzero(hit & (label[left][:, None] != label[right][None, :]))
+    forest.link(left[i], right[j])
+
+
 def _verified(threshold: float, kind: str):
     """Rows come sorted by (_cell, _block, _salt, _probe): members first, then probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def members_of(parts: list[pa.RecordBatch]):
+        def rows_of(t) -> tuple:
+            return unit_rows(t.column("_vec").to_pylist(), kind), *(t.column(c).to_numpy() for c in ("_node", "_n", "_home"))
+
+        def members_of(parts: list[pa.RecordBatch]) -> tuple:
             t = pa.Table.from_batches(parts).combine_chunks()
             visits = t.column("_visits").combine_chunks()
             visits = visits.chunk(0) if isinstance(visits, pa.ChunkedArray) else visits
-            seen = visits.flatten().to_numpy().reshape(t.num_rows, -1)
-            return unit_rows(t.column("_vec").to_pylist(), kind), *(t.column(c).to_numpy() for c in ("_node", "_n", "_home", "_group")), seen
+            return *rows_of(t), visits.flatten().to_numpy().reshape(t.num_rows, -1)
 
         def out(nodes, links, forest) -> pa.RecordBatch | None:
             some = np.flatnonzero(links > 0)
             if not len(some):
                 return None
             root = forest.roots()
-            return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(links[some]), pa.array(nodes[root[some]])], ["_node", "_links", "_root"])
+            return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(links[some].astype(np.int64)), pa.array(nodes[root[some]])], ["_node", "_links", "_root"])
 
-        def inner(m) -> pa.RecordBatch | None:
-            unit, node, n, _, group, _ = m
-            links, forest = np.zeros(len(node), np.int64), Forest(len(node))
+        def inner(m, cell: int) -> pa.RecordBatch | None:
+            if cell < 0 and cell % 2:
+                return None  # a core
+            unit, node, n, _, _ = m
+            links, forest, every = np.zeros(len(node)), Forest(len(node)), np.arange(len(node))
             for a in range(0, len(node), 512):
-                i, j = np.nonzero(unit[a : a + 512] @ unit[a:].T >= threshold)
-                i, j = i + a, j + a
-                keep = (i < j) & ((group[i] < 0) | (group[i] != group[j]))
-                i, j = i[keep], j[keep]
-                links += np.bincount(i, n[j], len(node)).astype(np.int64) + np.bincount(j, n[i], len(node)).astype(np.int64)
-                forest.link(i, j)
+                hit = np.triu(unit[a : a + 512] @ unit[a:].T >= threshold, 1)
+                if hit.any():
+                    count = hit.astype(np.float64)
+                    links[a : a + 512] += count @ n[a:]
+                    links[a:] += n[a : a + 512] @ count
+                    _joined(forest, hit, every[a : a + 512], every[a:])
             return out(node, links, forest)
 
         def outer(m, probes: pa.RecordBatch, cell: int) -> pa.RecordBatch | None:
-            unit, node, n, _, group, seen = m
-            p_unit, p_node, p_n, p_home, p_group, _ = members_of([probes])
-            i, j = np.nonzero(unit @ p_unit.T >= threshold)
-            if not len(i):
+            unit, node, n, _, seen = m
+            p_unit, p_node, p_n, p_home = rows_of(probes)
+            hit = unit @ p_unit.T >= threshold
+            if not hit.any():
                 return None
-            keep = (group[i] < 0) | (group[i] != p_group[j])
-            i, j = i[keep], j[keep]
-            elsewhere = (seen[i] == p_home[j][:, None]).any(1) & (p_home[j] != cell)
-            elsewhere &= group[i] < 0  # what is grouped doesn't look for others
-            keep = ~elsewhere | (cell < p_home[j])
-            i, j = i[keep], j[keep]
-            links = np.concatenate((np.bincount(i, p_n[j], len(node)), np.bincount(j, n[i], len(p_node)))).astype(np.int64)
+            if cell >= 0:
+                i, j = np.nonzero(hit)
+                elsewhere = (seen[i] == p_home[j][:, None]).any(1) & (p_home[j] < cell)
+                hit[i[elsewhere], j[elsewhere]] = False
+            count = hit.astype(np.float64)
+            links = np.concatenate((count @ p_n, n @ count))
             forest = Forest(len(node) + len(p_node))
-            forest.link(i, j + len(node))
+            _joined(forest, hit, np.arange(len(node)), np.arange(len(p_node)) + len(node))
             return out(np.concatenate((node, p_node)), links, forest)
 
         key, parts, members = None, [], None
@@ -215,7 +268,7 @@ def _verified(threshold: float, kind: str):
                 a, b = int(a), int(b)
                 now = tuple(keys[a])
                 if now != key:
-                    if parts and members is None and key[2] == 0 and (found := inner(members_of(parts))):
+                    if parts and members is None and key[2] == 0 and (found := inner(members_of(parts), int(key[0]))):
                         yield found
                     key, parts, members = now, [], None
                 if not probe[a]:
@@ -225,12 +278,12 @@ def _verified(threshold: float, kind: str):
                     continue  # nobody lives in this cell
                 if members is None:
                     members = members_of(parts)
-                    if key[2] == 0 and (found := inner(members)):
+                    if key[2] == 0 and (found := inner(members, int(key[0]))):
                         yield found
                 for s in range(a, b, 1024):
                     if found := outer(members, batch.slice(s, min(1024, b - s)), int(key[0])):
                         yield found
-        if parts and members is None and key[2] == 0 and (found := inner(members_of(parts))):
+        if parts and members is None and key[2] == 0 and (found := inner(members_of(parts), int(key[0]))):
             yield found
 
     return run
@@ -245,58 +298,42 @@ def class_links(classes: DataFrame, kind: str, dim: int, threshold: float, hot:
     empty = classes.sparkSession.createDataFrame([], "_node long, _links long, _root long")
     if total < 2:
         return empty
+    share = min(1.0, 1.2 * SAMPLE / total)
+    drawn = classes.where(F.pmod(F.xxhash64(F.lit(5), "_node"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("_vec").limit(SAMPLE).toArrow()
+    sample = unit_rows(drawn.column(0).to_pylist(), kind) if drawn.num_rows else np.empty((0, dim))
+    centres = dense_centres(sample, total, threshold, hot)
     if index is None:
-        share = min(1.0, 1.2 * SAMPLE / total)
-        drawn = classes.where(F.pmod(F.xxhash64(F.lit(5), "_node"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("_vec").limit(SAMPLE).toArrow()
-        index = fit(unit_rows(drawn.column(0).to_pylist(), kind), total, threshold)
-    types = "_node long, _n long, _vec binary, _home long, _visits array<long>, _group long"
-    placed = materialize(arrow_map(classes, _placed(index, kind, None, 1.0), types), "vectors-placed")
-    crowded = materialize(placed.groupBy("_home").agg(F.count("*").alias("_m")).where(F.col("_m") > hot), "vectors-crowded")
+        rest = sample[(sample @ centres.T < threshold).all(1)] if len(centres) else sample
+        rest, part = (rest, len(rest) / len(sample)) if len(rest) else (sample, 1.0)
+        index = fit(rest, max(2, round(total * part)), threshold)
+    types = "_node long, _n long, _vec binary, _home long, _visits array<long>, _meets array<long>"
+    placed = materialize(arrow_map(classes, _placed(index, kind, centres, threshold), types), "vectors-placed")
+    core = lambda c: (F.col(c) < 0) & (F.pmod(F.col(c), F.lit(2)) == 1)
     sums = empty
-    if not crowded.isEmpty():
-        # Mean directions of the fullest cells: one row per cell and dimension is summed before the shuffle.
-        fullest = crowded.orderBy(F.desc("_m"), "_home").limit(CENTRES)
-        mean = arrow_map(placed.join(F.broadcast(fullest), "_home").select("_home", "_vec"), _sums(kind), "_home long, _at int, _sum double").groupBy("_home", "_at").agg(F.sum("_sum").alias("_sum"))
-        rows = mean.toPandas().sort_values(["_home", "_at"])
-        centres = rows["_sum"].to_numpy().reshape(-1, dim)
-        centres = centres / np.maximum(np.linalg.norm(centres, axis=1), 1e-12)[:, None]
+    if len(centres):
         # Within half the angle of one direction, any two are within the whole.
-        placed = materialize(arrow_map(classes, _placed(index, kind, centres, float(np.cos(np.arccos(threshold) / 2 - 1e-9))), types), "vectors-placed")
-        grouped = placed.where("_group >= 0")
-        of = grouped.groupBy("_group").agg(F.sum("_n").alias("_sum"), F.min("_node").alias("_root"), F.count("*").alias("_members")).where("_members > 1")
-        sums = grouped.join(F.broadcast(of), "_group").select("_node", (F.col("_sum") - F.col("_n")).alias("_links"), "_root")
-    # A grouped vector is found by others but looks for none: its own are known, and others look for it.
-    seekers = placed.where("_group < 0").select("*", F.explode(F.slice("_visits", 2, index.visits)).alias("_cell"))
+        grouped = placed.where(core("_home"))
+        of = grouped.groupBy("_home").agg(F.sum("_n").alias("_sum"), F.min("_node").alias("_root"), F.count("*").alias("_members")).where("_members > 1")
+        sums = grouped.join(F.broadcast(of), "_home").select("_node", (F.col("_sum") - F.col("_n")).alias("_links"), "_root")
+    seekers = placed.select("*", F.explode(F.concat(F.slice("_visits", 2, max(1, index.visits)), "_meets")).alias("_cell"))
     sizes = placed.groupBy(F.col("_home").alias("_cell")).agg(F.count("*").alias("_m"))
     sought = seekers.groupBy("_cell").agg(F.count("*").alias("_p"))
-    blocks = materialize(sizes.join(sought, "_cell", "left").where((F.col("_m") > hot) | (F.col("_p") > probes)).select("_cell", F.ceil(F.col("_m") / hot).cast("int").alias("_blocks"), F.coalesce(F.ceil(F.col("_p") / probes), F.lit(1)).cast("int").alias("_salts")), "vectors-hot")
+    blocks = materialize(sizes.join(sought, "_cell", "left").where((F.col("_m") > hot) | (F.col("_p") > probes)).select("_cell", F.ceil(F.col("_m") / F.when(F.col("_cell") < 0, WIDE * hot).otherwise(hot)).cast("int").alias("_blocks"), F.coalesce(F.ceil(F.col("_p") / probes), F.lit(1)).cast("int").alias("_salts")), "vectors-hot")
     blocks = checked(blocks)
     one = lambda c: F.coalesce(c, F.lit(1))
     spread = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "_node"), one(F.col(n))).cast("int")
-    common = ["_cell", "_block", "_salt", "_probe", "_node", "_n", "_vec", "_home", "_visits", "_group"]
+    common = ["_cell", "_block", "_salt", "_probe", "_node", "_n", "_vec", "_home", "_visits"]
     homes = placed.withColumn("_cell", F.col("_home")).join(blocks, "_cell", "left").withColumn("_block", spread("_blocks", 3))
     members = homes.withColumn("_salt", F.explode(F.sequence(F.lit(0), one(F.col("_salts")) - 1))).withColumn("_probe", F.lit(0))
-    # Members of a hot cell meet the blocks before their own; those of a group meet there what isn't in it.
-    between = homes.where("_block > 0").withColumn("_own", F.col("_block")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_own") - 1))).withColumn("_salt", spread("_salts", 4)).withColumn("_probe", F.lit(1))
+    # Members of a hot cell meet the blocks before their own, unless it is a core.
+    between = homes.where((F.col("_block") > 0) & ~core("_home")).withColumn("_own", F.col("_block")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_own") - 1))).withColumn("_salt", spread("_salts", 4)).withColumn("_probe", F.lit(1))
     outside = seekers.join(blocks, "_cell", "left").withColumn("_block", F.explode(F.sequence(F.lit(0), one(F.col("_blocks")) - 1))).withColumn("_salt", spread("_salts", 4)).withColumn("_probe", F.lit(1))
-    dealt = members.select(common).unionByName(between.select(common)).unionByName(outside.select(common)).repartition("_cell", "_block", "_salt").sortWithinPartitions("_cell", "_block", "_salt", "_probe")
+    # only members' visits are asked for
+    probing = between.select(common).unionByName(outside.select(common)).withColumn("_visits", F.lit(None).cast("array<long>"))
+    dealt = members.select(common).unionByName(probing).repartition("_cell", "_block", "_salt").sortWithinPartitions("_cell", "_block", "_salt", "_probe")
     return materialize(arrow_map(dealt, _verified(threshold, kind), "_node long, _links long, _root long").unionByName(sums), "vectors-links")
 
 
-def _sums(kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
-            unit = unit_rows(batch.column(1).to_pylist(), kind)
-            total = np.zeros((len(cell), unit.shape[1]))
-            np.add.at(total, at, unit)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cell, total.shape[1])), pa.array(np.tile(np.arange(total.shape[1], dtype=np.int32), len(cell))), pa.array(total.ravel())], ["_home", "_at", "_sum"])
-
-    return run
-
-
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, hot: int = HOT, probes: int = PROBES) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept) for every row of `vectors` (vec_id, embedding).
 

@@ -191,6 +191,56 @@ def test_recall_on_the_drivers_vectors(spark):
     assert all(got[k] <= n for k, n in true.items()) and sum(got.values()) >= 0.9 * sum(true.values())
 
 
+def around(rng, centre, n, low, high):
+    """Unit vectors with a cosine of low to high with `centre`."""
+    x = rng.normal(size=(n, len(centre)))
+    x -= (x @ centre)[:, None] * centre
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    c = rng.uniform(low, high, (n, 1))
+    return c * centre + (1 - c * c) ** 0.5 * x
+
+
+def exact_vectors(x, threshold=0.95):
+    """(links, least row reachable) of each row; no pair's cosine may be too near the threshold to tell."""
+    x = x.astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    links, root = np.zeros(len(x), int), np.arange(len(x))
+    near = x @ x.T >= threshold
+    while True:
+        least = np.array([root[row].min() for row in near])
+        if (least == root).all():
+            return list(zip((near.sum(1) - 1).tolist(), root.tolist(), strict=True))
+        root = least
+
+
+def found_vectors(spark, x, **options):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.astype(np.float32).tolist())], "vec_id long, embedding array<float>").repartition(4)
+    return [(r["n_links"], r["component_id"]) for r in sorted(multiindex.near_vectors(df, **options).collect())]
+
+
+def test_a_third_of_the_vectors_near_one(spark):
+    """Distinct near copies, many beyond half the threshold's angle, that an index would spread over cells none of which is hot."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(9000, 64))
+    x[::3] = around(rng, x[0] / np.linalg.norm(x[0]), 3000, 0.97, 0.997)
+    assert found_vectors(spark, x) == exact_vectors(x)
+
+
+def test_visits_are_as_many_as_links_ask_for():
+    """Cells are visited until links are found, also where many centroids lie in one dense place."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[::3] = around(rng, x[0], 2000, 0.98, 0.995)
+    index = multiindex.fit(x, 400_000, 0.95)
+    a = x[0:900:3]
+    noise = rng.normal(size=a.shape)
+    noise -= (noise * a).sum(1)[:, None] * a
+    b = 0.95 * a + (1 - 0.95**2) ** 0.5 * noise / np.linalg.norm(noise, axis=1)[:, None]
+    ca, cb = index.cells(a), index.cells(b)
+    assert index.visits > 128 and ((ca == cb[:, :1]).any(1) | (cb == ca[:, :1]).any(1)).mean() > 0.97
+
+
 # --- language ---------------------------------------------------------------------------------------
 
 
