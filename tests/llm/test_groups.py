@@ -226,6 +226,18 @@ def test_a_third_of_the_vectors_near_one(spark):
     assert found_vectors(spark, x) == exact_vectors(x)
 
 
+def test_one_cluster_of_several_regions(spark):
+    """Hubs so near each other that members of one link with many of the next: all links count, and they are one component."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2400, 32))
+    hubs = around(rng, x[0] / np.linalg.norm(x[0]), 5, 0.97, 0.985)
+    for k, hub in enumerate(hubs):
+        x[k::12] = around(rng, hub / np.linalg.norm(hub), len(x[k::12]), 0.975, 0.999)
+    expected = exact_vectors(x)
+    assert sum(n for n, _ in expected) > 200_000 and {c for n, c in expected if n} == {0}
+    assert found_vectors(spark, x, hot=64) == expected
+
+
 def test_visits_are_as_many_as_links_ask_for():
     """Cells are visited until links are found, also where many centroids lie in one dense place."""
     rng = np.random.default_rng(9)
