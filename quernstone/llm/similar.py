@@ -1,0 +1,135 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles.
+
+Shingles are 64-bit hashes in one order for all texts. Two sets of a similarity of 0.8 or more
+share a shingle among the first fifth (and one) of each, so sets meet by an equality shuffle
+of those few. In rounds, some pivots of every shingle's bucket are paired with its other
+members; pairs are verified on whole sets, and a bucket whose members are one component is
+done. A round has a bounded number of rows for each member, however large a group is.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import arrow_map, discard, materialize, row_key, slices, text_bytes
+from .components import checked, components
+
+#: The least similarity, as a fraction.
+LEAST = (4, 5)
+#: Pivots of a bucket in a round after the first, at most; the first has one, which is enough for tight groups.
+PIVOTS = 16
+#: Shingles that more sets have among their first come last in the order instead.
+COMMON = 1_000
+
+
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """Distinct hashes of the text's shingles, sorted; fewer words are one shingle, none are the shingle of the empty text."""
+    own = text.lower().split()
+    parts = [b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))]
+    return np.unique(np.array([xxhash.xxh64_intdigest(p, 42) for p in parts], np.uint64))
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, "text"):
+                own = [shingles(t, words).tobytes() for t in part.column("text").to_pylist()]
+                node = np.array([xxhash.xxh3_64_intdigest(s) for s in own], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "_k1", "_k2")), pa.array(node), pa.array(own, pa.binary())], ["doc_id", "_k1", "_k2", "_node", "_set"])
+
+    return run
+
+
+def _first(last: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                keys, sizes = [], []
+                for raw in part.column("_set").to_pylist():
+                    own = np.frombuffer(raw, np.uint64)
+                    sizes.append(len(own))
+                    if len(last):
+                        own = own[np.argsort(np.isin(own, last), kind="stable")]
+                    keys.append(own[: len(own) + LEAST[0] * len(own) // -LEAST[1] + 1])
+                n = [len(k) for k in keys]
+                flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(part.column("_node").to_numpy(), n)), pa.array(np.repeat(np.array(sizes, np.int64), n))], ["_key", "_node", "_size"])
+
+    return run
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("_x").to_pylist(), batch.column("_y").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(LEAST[1] * both >= LEAST[0] * (len(x) + len(y) - both))
+        yield batch.select(["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def similar_sets(sets: DataFrame) -> DataFrame:
+    """Rows (node, root) as components gives them, for the rows (_node, _set) of `sets` under links of the least similarity."""
+    keys = lambda last: arrow_map(sets.select("_node", "_set"), _first(last), "_key long, _node long, _size long")
+    shared = lambda rows: rows.groupBy("_key").agg(F.count("*").alias("_m"), F.min("_node").alias("_lo"), F.max("_node").alias("_hi")).where("_lo < _hi")
+    first, last = keys(np.empty(0, np.uint64)), np.empty(0, np.uint64)
+    met = materialize(shared(first).select("_key", "_m"), "similar-keys")
+    common = met.where(F.col("_m") > COMMON).select("_key").toArrow()
+    if common.num_rows:
+        last = np.sort(common.column(0).to_numpy().view(np.uint64))
+        first = keys(last)
+        met = materialize(shared(first).select("_key", "_m"), "similar-keys")
+    live = materialize(first.join(checked(met.select("_key")), "_key").distinct().withColumn("_root", F.col("_node")), "similar-live")
+    discard(met)
+    roots, slots = None, 1
+    while not live.isEmpty():
+        pivots = live.groupBy("_key", F.pmod(F.xxhash64("_node"), F.lit(slots)).alias("_slot")).agg(F.min(F.struct("_node", "_size", "_root")).alias("_p"))
+        pivots = materialize(pivots.select("_key", F.col("_p._node").alias("_pivot"), F.col("_p._size").alias("_s"), F.col("_p._root").alias("_r")), "similar-pivots")
+        sized = LEAST[1] * F.least("_size", "_s") >= LEAST[0] * F.greatest("_size", "_s")
+        pairs = materialize(live.join(pivots, "_key").where((F.col("_root") != F.col("_r")) & sized).select(F.greatest("_node", "_pivot").alias("_a"), F.least("_node", "_pivot").alias("_b")).distinct(), "similar-pairs")
+        asked = pairs.select(F.col("_a").alias("_node")).unionByName(pairs.select(F.col("_b").alias("_node"))).distinct()
+        own = materialize(sets.select("_node", "_set").join(asked, "_node", "left_semi").dropDuplicates(["_node"]), "similar-sets")
+        side = lambda node, text: own.select(F.col("_node").alias(node), F.col("_set").alias(text))
+        found = materialize(arrow_map(pairs.join(side("_a", "_x"), "_a").join(side("_b", "_y"), "_b"), _alike, "_a long, _b long"), "similar-links")
+        if not found.isEmpty():
+            links = found if roots is None else roots.select(F.col("node").alias("_a"), F.col("root").alias("_b")).unionByName(found)
+            roots = components(links, "_a", "_b")
+        # A pivot has met its whole bucket.
+        before, slots = live, PIVOTS
+        live = live.drop("_root").join(pivots.select("_key", F.col("_pivot").alias("_node")), ["_key", "_node"], "left_anti")
+        if roots is None:
+            live = live.withColumn("_root", F.col("_node"))
+        else:
+            live = live.join(checked(roots), live["_node"] == roots["node"], "left").select("_key", "_node", "_size", F.coalesce("root", "_node").alias("_root"))
+        told = live = materialize(live, "similar-live")
+        open_ = live.groupBy("_key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo < _hi").select("_key")
+        live = materialize(live.join(open_, "_key", "left_semi"), "similar-live")
+        for done in (before, told, pivots, pairs, own):
+            discard(done)
+    return roots if roots is not None else sets.sparkSession.createDataFrame([], "node long, root long")
+
+
+def drop_similar(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The rows of `docs`, with all their columns, but of each group only the one of the least doc_id.
+
+    Texts whose sets of shingles have a Jaccard similarity of 0.8 or more are linked, and groups
+    are what links reach. A null text is like an empty one; such texts are one group. Of several
+    texts of the least doc_id, or of a group without doc_id, the one of the least hash stays.
+    """
+    sets = materialize(arrow_map(docs.select("doc_id", *row_key("doc_id", "text"), text_bytes()), _sets(words), "doc_id long, _k1 long, _k2 long, _node long, _set binary"), "similar-shingles")
+    roots = similar_sets(sets)
+    rows = sets.drop("_set").join(checked(roots), sets["_node"] == roots["node"], "left").select("doc_id", "_k1", "_k2", F.coalesce("root", "_node").alias("_root"))
+    rows = materialize(rows, "similar-rows")
+    stays = rows.groupBy("_root").agg(F.count("*").alias("_m"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")).alias("_stay")).where("_m > 1")
+    judged = rows.join(stays, "_root").groupBy("_k1", "_k2").agg(F.max((F.col("_k1") != F.col("_stay._k1")) | (F.col("_k2") != F.col("_stay._k2"))).alias("_gone"))
+    judged = materialize(judged, "similar-judged")
+    keyed = docs.select("*", *row_key("doc_id", "text")).join(checked(judged), ["_k1", "_k2"], "left")
+    single = keyed.where(F.col("_gone").isNull()).select(*docs.columns)
+    return single.unionByName(keyed.where(~F.col("_gone")).dropDuplicates(["_k1", "_k2"]).select(*docs.columns))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quernstone.llm import language, multiindex, packing, quality, registry, simhash
+from quernstone.llm import language, multiindex, packing, quality, registry, similar, simhash
 from quernstone.llm.components import components
 from quernstone.llm.tokens import public_tokenizer
 from tests.llm.corpus import frame, rows, same, words
@@ -122,6 +122,30 @@ def test_sparse_and_dense_bucket_ways_agree(monkeypatch):
     assert [x.tolist() for x in simhash.bucket_links(prints, 2)] == dense
 
 
+def test_edited_copies_are_dropped(spark):
+    """Copies with a few words replaced: exactly those go that links of a Jaccard similarity of 0.8 or more reach."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        texts.append(base)
+        for _ in range(5):
+            copy = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 30))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(5000)}"
+            texts.append(copy)
+    base = [f"h{k}" for k in range(100)]
+    texts += [[*base, f"t{k}"] for k in range(60)] + [[], ["one"], ["one"], ["two", "words"]]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    far = sum((plain_fingerprint(" ".join(texts[i]), 5) ^ plain_fingerprint(" ".join(texts[j]), 5)).bit_count() > 5 for i, j in links)
+    root = grouped(len(sets), links)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)] + [(300, None), (0, " ".join(texts[0])), (0, " ".join(texts[0]) + " ")], "doc_id long, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in similar.drop_similar(df).collect())
+    assert far > 50 and got == sorted(set(root))
+    assert similar.drop_similar(df.limit(0)).count() == 0
+
+
 # --- vectors ----------------------------------------------------------------------------------------
 
 
