@@ -1,9 +1,10 @@
 """Token counts of a document's sections.
 
 A document is encoded once, whole, because tokens of parts encoded alone don't add up
-to the whole. Each token's character span is matched to the sections' spans by a merge
-of two sorted lists (binary search of token starts in section starts), and a token that
-crosses a boundary goes to one section by a rule:
+to the whole. Documents of a batch lie one behind the other on one axis of characters;
+there each token's span is matched to the sections' spans by a merge of two sorted lists
+(binary search of token starts in section starts), and a token that crosses a boundary
+goes to one section by a rule:
 
 * start: the section that holds its first character;
 * end: the section that holds its last character;
@@ -14,55 +15,88 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_map, slices, text_bytes
-from .tokens import Encoder, loaded
+from .tokens import Encoder, le32, loaded
 
 RULES = ("start", "end", "majority")
+#: Bytes of a character after its first.
+_LATER = bytes(range(0x80, 0xC0))
 
 
 class SpanEncoder(Encoder):
-    """Remembers of each word: characters, number of tokens, and the tokens' spans counted from the word's start."""
+    """Remembers of each word's tokens, 16 bits each: by how many characters the end moves on, and the characters that the token spans.
+
+    Tokens that share a character end at the same place. Words follow each other without gaps,
+    so a running sum over a whole batch gives every token's end.
+    """
 
     def __init__(self, path: str, **kw):
         super().__init__(path, **kw)
         if not self.spaced:
             raise ValueError(f"spans need a tokenizer whose pieces are the text itself: {path}")
         # A vocabulary string has one character for each byte; special tokens have their own text.
-        self.bytes_of = {i: len(s) for s, i in self.spec["model"]["vocab"].items()} | {i: len(s.encode()) for s, i in self.special.items()}
-
-    def value(self, piece: str, ids: list[int]):
-        import numpy as np
-
-        ends = np.cumsum([self.bytes_of[i] for i in ids])
-        starts = ends - [self.bytes_of[i] for i in ids]
-        if not piece.isascii():
-            # of each byte, the character that it belongs to
-            char = np.cumsum([(b & 0xC0) != 0x80 for b in piece.encode()]) - 1
-            starts, ends = char[starts], char[ends - 1] + 1
-        return len(piece), len(ids), np.stack((starts, ends), 1).astype("<i4").tobytes()
-
-    def combine(self, values: list):
-        import numpy as np
-
-        if not values:
-            return 0, 0, b""
-        chars, n, spans = zip(*values, strict=True)
-        base = np.repeat(np.cumsum((0, *chars[:-1])), n)
-        return sum(chars), sum(n), (np.frombuffer(b"".join(spans), "<i4").reshape(-1, 2) + base[:, None]).astype("<i4").tobytes()
-
-    def spans(self, text: str):
-        """The tokens' character spans, an array of (start, end)."""
-        import numpy as np
-
-        kept = self.values(text)
-        if not kept:
-            return np.zeros((0, 2), np.int64)
-        chars, n, spans = zip(*kept, strict=True)
-        base = np.cumsum((0, *chars[:-1]))
-        return np.frombuffer(b"".join(spans), "<i4").reshape(-1, 2).astype(np.int64) + np.repeat(base, n)[:, None]
+        size = {i: len(s) for s, i in self.spec["model"]["vocab"].items()} | {i: len(s.encode()) for s, i in self.special.items()}
+        if max(size.values(), default=0) > 0xFFFF:
+            raise ValueError(f"tokens of over 65,535 bytes: {path}")
+        self.size = [size.get(i, 0) for i in range(max(size, default=-1) + 1)]
+        self.even = [n << 16 | n for n in self.size]
+
+    def value(self, piece: str, ids: list[int]) -> bytes:
+        if piece.isascii():
+            return le32([self.even[i] for i in ids])
+        raw, at, out = piece.encode(), 0, []
+        for i in ids:
+            own = raw[at : at + self.size[i]]
+            at += len(own)
+            begun = len(own.translate(None, _LATER))
+            out.append(begun << 16 | (begun + ((own[0] & 0xC0) == 0x80)))  # it may share the character before
+        return le32(out)
+
+
+def spans_of(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) in characters of tokens that follow each other."""
+    both = np.frombuffer(packed, "<u4").astype(np.int64)
+    ends = np.cumsum(both >> 16)
+    return ends - (both & 0xFFFF), ends
+
+
+def owners(starts: np.ndarray, ends: np.ndarray, lows: np.ndarray, highs: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """(section of each token, -1 for none; whether it touches two or more) for sorted sections that don't overlap."""
+    full = np.flatnonzero(highs > lows)  # empty sections hold nothing
+    if not len(full):
+        return np.full(len(starts), -1), np.zeros(len(starts), bool)
+    low, high = lows[full], highs[full]
+    at = np.searchsorted(low, starts, "right") - 1
+    inside = (at >= 0) & (starts < high[at])
+    owner, crossing = np.where(inside, full[at], -1), np.zeros(len(starts), bool)
+    rest = np.flatnonzero(~inside | (ends > high[at]))  # the others lie in one section
+    if not len(rest):
+        return owner, crossing
+    a, b = starts[rest], np.maximum(ends[rest], starts[rest] + 1)
+    first, last = at[rest], np.searchsorted(low, b - 1, "right") - 1
+    in_first, in_last = inside[rest], (last >= 0) & (b - 1 < high[last])
+    crossing[rest] = (in_first != in_last) | (first != last)
+    if rule == "end":
+        owner[rest] = np.where(in_last, full[last], -1)
+    if rule == "majority":
+        some = np.flatnonzero(crossing[rest])
+        a, b, first, last = a[some], b[some], np.maximum(first[some], 0), last[some]
+        n = last - first + 1
+        edge = np.cumsum(n) - n
+        section = np.arange(n.sum()) - np.repeat(edge - first, n)
+        share = np.maximum(np.minimum(np.repeat(b, n), high[section]) - np.maximum(np.repeat(a, n), low[section]), 0)
+        if len(some):
+            # the largest share, of equals the first
+            best = np.maximum.reduceat((share << 32) - (section - np.repeat(first, n)), edge)
+            most = -(-best >> 32)
+            chosen = first + ((most << 32) - best)
+            left = b - a - np.add.reduceat(share, edge)
+            owner[rest[some]] = np.where((most > 0) & (most >= left), full[chosen], -1)
+    return owner, crossing
 
 
 def line_sections(text: str) -> list[tuple[int, int]]:
@@ -75,6 +109,45 @@ def line_sections(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _lines_of(raw: list[bytes], chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sections of each text, starts, ends) of line_sections for texts that follow each other."""
+    joined = np.frombuffer(b"".join(raw), np.uint8)
+    feeds = np.flatnonzero(joined == 10)
+    size = np.array([len(x) for x in raw], np.int64)
+    of = np.searchsorted(np.cumsum(size), feeds, "right")
+    if int(chars.sum()) != len(joined):
+        feeds = np.cumsum((joined & 0xC0) != 0x80)[feeds] - 1
+    number = np.bincount(of, minlength=len(raw)) + 1
+    stops = np.cumsum(chars)
+    ends, after = np.empty(number.sum(), np.int64), np.cumsum(number) - 1
+    ends[after] = stops
+    ends[np.delete(np.arange(len(ends)), after)] = feeds + 1
+    starts = np.concatenate(([0], ends[:-1]))
+    starts[after - number + 1] = stops - chars
+    return number, starts, ends
+
+
+def _given(lists: list, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sections of each text, starts, ends, room that each text takes) of given sections, each text's moved behind the last one's."""
+    number, starts, ends, room = [], [], [], []
+    at = 0
+    for own, n in zip(lists, chars.tolist(), strict=True):
+        before, furthest = 0, n
+        for s in own or ():
+            a, b = (None, None) if s is None else (s["start"], s["end"])
+            if a is None or b is None:  # holds nothing
+                a = b = before
+            if b < a or a < before and b > a:
+                raise ValueError("sections must be sorted and must not overlap")
+            before, furthest = max(before, b), max(furthest, b)
+            starts.append(at + max(0, a))
+            ends.append(at + max(0, b))
+        number.append(len(own or ()))
+        room.append(furthest)
+        at += furthest
+    return np.array(number, np.int64), np.array(starts, np.int64), np.array(ends, np.int64), np.array(room, np.int64)
+
+
 def attribute(spans, sections: list[tuple[int, int]], rule: str = "majority") -> tuple[list[int], int, int]:
     """(tokens of each section, tokens of none, tokens that touch two or more).
 
@@ -82,41 +155,21 @@ def attribute(spans, sections: list[tuple[int, int]], rule: str = "majority") ->
     which the rule picks a character outside all sections belongs to none; by majority,
     characters outside count together as one more candidate, the last.
     """
-    import numpy as np
-
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     starts, ends = (np.array(x, np.int64) for x in zip(*sections, strict=True)) if sections else (np.zeros(0, np.int64),) * 2
     if (np.diff(starts) < 0).any() or (ends < starts).any() or (starts[1:] < ends[:-1]).any():
         raise ValueError("sections must be sorted and must not overlap")
-    full = np.flatnonzero(ends > starts)  # empty sections hold nothing
-
-    def at(position):
-        if not len(full):
-            return np.full(len(position), -1)
-        k = np.searchsorted(starts[full], position, "right") - 1
-        return np.where((k >= 0) & (position < ends[full][k]), full[k], -1)
-
-    first, last = at(spans[:, 0]), at(np.maximum(spans[:, 1] - 1, spans[:, 0]))
-    # two ends in one section, or two ends in no section with none between them
-    between = np.searchsorted(starts[full], spans[:, 1], "left") - np.searchsorted(starts[full], spans[:, 0], "right")
-    crossing = (first != last) | ((first < 0) & (between > 0))
-    owner = (last if rule == "end" else first).copy()
-    if rule == "majority":
-        for t in np.flatnonzero(crossing).tolist():
-            a, b = map(int, spans[t])
-            shares = [(max(0, min(b, int(ends[s])) - max(a, int(starts[s]))), -int(s), int(s)) for s in full[max(0, np.searchsorted(starts[full], a, "right") - 1) : np.searchsorted(starts[full], b, "left")]]
-            best = max(shares)
-            owner[t] = best[2] if best[0] >= b - a - sum(x[0] for x in shares) and best[0] else -1
-    counts = np.bincount(owner[owner >= 0], minlength=len(sections)) if len(sections) else np.zeros(0, int)
-    return counts.tolist(), int((owner < 0).sum()), int(crossing.sum())
+    owner, crossing = owners(spans[:, 0], spans[:, 1], starts, ends, rule)
+    return np.bincount(owner[owner >= 0], minlength=len(sections)).tolist() if len(sections) else [], int((owner < 0).sum()), int(crossing.sum())
 
 
 def section_tokens(docs: DataFrame, tokenizer: str, sections: str | None = None, rule: str = "majority") -> DataFrame:
     """Rows (doc_id, n_tokens, n_sections, n_outside, n_crossing, section_tokens) for every row of `docs`.
 
     `sections` names a column array<struct<start:int,end:int>> of character spans (null: none);
-    without it the sections are the lines. section_tokens lists the tokens of each section; they
+    without it the sections are the lines. A section that is null or lacks an end holds nothing; ones
+    out of order or overlapping are an error. section_tokens lists the tokens of each section; they
     and n_outside add up to n_tokens. A null text is empty: no tokens, one empty line. Repeated
     rows return once each; a null doc_id stays null; other columns are ignored.
     """
@@ -127,15 +180,23 @@ def section_tokens(docs: DataFrame, tokenizer: str, sections: str | None = None,
         coder = loaded(SpanEncoder, tokenizer)
         for whole in batches:
             for part in slices(whole, "text"):
-                given = part.column(2).to_pylist() if sections else [None] * part.num_rows
-                rows = []
-                for raw, own in zip(part.column(1).to_pylist(), given, strict=True):
-                    text = raw.decode()
-                    spans = coder.spans(text)
-                    where = [(s["start"], s["end"]) for s in own or ()] if sections else line_sections(text)
-                    counts, outside, crossing = attribute(spans, where, rule)
-                    rows.append((len(spans), len(where), outside, crossing, counts))
-                kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_tokens", "n_sections", "n_outside", "n_crossing", "section_tokens"])
+                raw = part.column(1).to_pylist()
+                texts = [x.decode() for x in raw]
+                chars = np.fromiter(map(len, texts), np.int64, len(texts))
+                packed = [coder.ids(t) for t in texts]
+                n = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+                starts, ends = spans_of(b"".join(packed))
+                of = np.repeat(np.arange(len(raw)), n)
+                if sections:
+                    number, low, high, room = _given(part.column(2).to_pylist(), chars)
+                    moved = (np.cumsum(room - chars) - (room - chars))[of]
+                    starts, ends = starts + moved, ends + moved
+                else:
+                    number, low, high = _lines_of(raw, chars)
+                owner, crossing = owners(starts, ends, low, high, rule)
+                counts = np.bincount(owner[owner >= 0], minlength=len(low))
+                tally = lambda rows: pa.array(np.bincount(of[rows], minlength=len(raw)), pa.int64())  # noqa: B023, E731
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(number))), pa.int32()), pa.array(counts, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(number, pa.int64()), tally(owner < 0), tally(crossing), lists], ["doc_id", "n_tokens", "n_sections", "n_outside", "n_crossing", "section_tokens"])
 
     return arrow_map(docs.select("doc_id", text_bytes(), *([sections] if sections else [])), run, "doc_id long, n_tokens long, n_sections long, n_outside long, n_crossing long, section_tokens array<long>")
