@@ -82,9 +82,15 @@ def row_key(*names: str) -> list[Column]:
     return [F.xxhash64(F.lit(17), *marks, *cols).alias("_k1"), F.xxhash64(F.lit(91), *cols, *marks).alias("_k2")]
 
 
-def text_bytes(name: str = "text") -> Column:
+def text_bytes(name: str = "text", alias: str | None = None) -> Column:
     """The text's UTF-8 bytes; a null text is empty."""
-    return F.coalesce(F.col(name).cast("binary"), F.lit(b"")).alias(name)
+    return F.coalesce(F.col(name).cast("binary"), F.lit(b"")).alias(alias or name)
+
+
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with its columns named by position (c0, c1, ...), so that they clash with no column of ours, and the new name of each old one."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(reversed(list(zip(df.columns, names, strict=True))))
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
@@ -118,22 +124,26 @@ def discard(written: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
-def retexted(df: DataFrame, schema: T.StructType, extra: str, fn: Callable[[bytes, object], bytes]) -> DataFrame:
-    """Rows of `schema` from those of `df`: text becomes fn(text as bytes, the row's `extra`), n_chars its code points where there is such a column.
+def retexted(docs: DataFrame, extra: DataFrame, column: str, fn: Callable[[bytes, object], bytes]) -> DataFrame:
+    """The rows of `docs`, all columns kept: text becomes fn(text as bytes, the row's `column` of `extra`), n_chars its code points where there is such a column.
 
+    `extra` has a row for some rows of `docs`, by _k1 and _k2 (row_key of doc_id and text); the others stay as they are.
     A null text stays null. Bytes that are no whole character are left out.
     """
-    names = schema.names
-    counted = [f.name for f in schema.fields if f.name == "n_chars" and isinstance(f.dataType, T.IntegralType)]
+    apart, at = positional(docs)
+    counted = [at[f.name] for f in docs.schema.fields if f.name == "n_chars" and isinstance(f.dataType, T.IntegralType)]
+    own, text = apart.columns, at["text"]
+    keyed = apart.select("*", *row_key(at["doc_id"], text)).join(extra.select("_k1", "_k2", F.col(column).alias("_extra")), ["_k1", "_k2"], "left").select(*own, "_extra")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            sized = whole.append_column("_size", whole.column("text").cast(pa.binary()))
+            sized = whole.append_column("_size", whole.column(text).cast(pa.binary()))
             for part in slices(sized, "_size"):
-                texts = [None if t is None else fn(t, x).decode(errors="ignore") for t, x in zip(part.column("_size").to_pylist(), part.column(extra).to_pylist(), strict=True)]
-                made = {"text": pa.array(texts, part.column("text").type)}
+                texts = [t if t is None or x is None else fn(t, x) for t, x in zip(part.column("_size").to_pylist(), part.column("_extra").to_pylist(), strict=True)]
+                texts = [None if t is None else t.decode(errors="ignore") for t in texts]
+                made = {text: pa.array(texts, part.column(text).type)}
                 for n in counted:
                     made[n] = pa.array([old if t is None else len(t) for t, old in zip(texts, part.column(n).to_pylist(), strict=True)], part.column(n).type)
-                yield pa.RecordBatch.from_arrays([made.get(n, part.column(n)) for n in names], names)
+                yield pa.RecordBatch.from_arrays([made.get(n, part.column(n)) for n in own], own)
 
-    return arrow_map(df, run, schema)
+    return arrow_map(keyed, run, apart.schema).toDF(*docs.columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, retexted, row_key, slices, text_bytes
+from .common import arrow_map, materialize, positional, retexted, row_key, slices, text_bytes
 
 _SPACES = b" \t\n\x0b\x0c\r"
 
@@ -116,11 +116,15 @@ def digest_lines(docs: DataFrame, least_chars: int = 10, least_docs: int = 2) ->
 
 
 def drop_repeated_lines(docs: DataFrame, least_chars: int = 10, least_docs: int = 2) -> DataFrame:
-    """The rows of `docs`, all of them and with all their columns, their texts without the lines that dedup_lines drops. A null text stays null."""
-    drops = materialize(dropped_positions(docs, least_chars, least_docs), "line-drops")
+    """The rows of `docs`, all of them and with all their columns, their texts without the lines that dedup_lines drops.
+
+    A null text stays null; a null doc_id and repeated rows are as in dedup_lines; no rows, no result; names of other columns don't matter.
+    """
+    apart, at = positional(docs)
+    drops = materialize(dropped_positions(apart.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")), least_chars, least_docs), "line-drops")
 
     def left(text: bytes, drop) -> bytes:
-        gone = set(drop or ())
-        return b"\n".join([x for p, x in enumerate(text.split(b"\n")) if p not in gone]) if gone else text
+        gone = set(drop)
+        return b"\n".join([x for p, x in enumerate(text.split(b"\n")) if p not in gone])
 
-    return retexted(docs.select("*", *row_key("doc_id", "text")).join(drops, ["_k1", "_k2"], "left"), docs.schema, "_drop", left)
+    return retexted(docs, drops, "_drop", left)

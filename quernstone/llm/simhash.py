@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, row_key, slices, text_bytes
+from .common import arrow_map, materialize, positional, row_key, slices, text_bytes
 from .components import checked, components
 
 BITS = 64
@@ -233,28 +233,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 3, bucket:
 
 
 def _grouped(docs: DataFrame, words: int, distance: int, bucket: int) -> DataFrame:
-    """Rows (doc_id, _k1, _k2, _fp, component_id); _k1 and _k2 are row_key of doc_id and text."""
+    """Rows (doc_id, _k1, _k2, _fp, component_id, _group); _k1 and _k2 are row_key of doc_id and text."""
     prints = materialize(arrow_map(docs.select("doc_id", *row_key("doc_id", "text"), text_bytes()), _fingerprinted(words), "doc_id long, _k1 long, _k2 long, _fp long"), "simhash-prints")
     classes = materialize(prints.groupBy("_fp").agg(F.min("doc_id").alias("_least")), "simhash-classes")
     roots = components(fingerprint_links(classes, distance, bucket), "_a", "_b")
     rooted = materialize(classes.join(checked(roots), classes["_fp"] == roots["node"], "left").select("_fp", F.coalesce("root", "_fp").alias("_root"), "_least"), "simhash-rooted")
     least = materialize(rooted.groupBy("_root").agg(F.min("_least").alias("component_id")), "simhash-least-ids")
-    named = materialize(rooted.select("_fp", "_root").join(checked(least), "_root").select("_fp", "component_id"), "simhash-named")
+    named = materialize(rooted.select("_fp", "_root").join(checked(least), "_root").select("_fp", "component_id", F.col("_root").alias("_group")), "simhash-named")
     return prints.join(checked(named), "_fp")
 
 
+def first_of_groups(keyed: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame:
+    """Of each group's rows one, with the columns `names`: `keyed` has those (under other names), then _k1 and _k2; `rows` has (_id, _k1, _k2, _root) for each of them.
+
+    The row of the least (_id, _k1, _k2) stays, a null _id last; equal rows are one.
+    """
+    rows = materialize(rows, "group-rows")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_k1", "_k2")).alias("_stay")
+    stays = materialize(rows.groupBy("_root").agg(F.count("*").alias("_m"), first).where("_m > 1").select("_root", F.col("_stay._k1").alias("_s1"), F.col("_stay._k2").alias("_s2")), "group-stays")
+    judged = rows.join(checked(stays), "_root").groupBy("_k1", "_k2").agg(F.max((F.col("_k1") != F.col("_s1")) | (F.col("_k2") != F.col("_s2"))).alias("_gone"))
+    judged = materialize(judged, "group-judged")
+    marked, own = keyed.join(checked(judged), ["_k1", "_k2"], "left"), [c for c in keyed.columns if c not in ("_k1", "_k2")]
+    single = marked.where(F.col("_gone").isNull()).select(*own)
+    return single.unionByName(marked.where(~F.col("_gone")).dropDuplicates(["_k1", "_k2"]).select(*own)).toDF(*names)
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """The rows of `docs`, with all their columns, that near_duplicates puts first: one document of each group, the least doc_id.
+    """The rows of `docs`, with all their columns, but of each group of near_duplicates only one: that of the least doc_id.
 
-    Rows that are equal in doc_id and text are one document and one of them stays. Rows without
-    doc_id go if their group has one with; a group of such rows alone keeps its different texts.
+    Rows that are equal in doc_id and text are one. Of several texts of the least doc_id, or of a
+    group without doc_id, the one of the least hash stays. Names of other columns don't matter.
     """
-    grouped = _grouped(docs, words, distance, bucket)
-    # by row: whether it goes; and rows of which there are several
-    judged = grouped.groupBy("_k1", "_k2").agg(F.count("*").alias("_n"), F.max(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_gone")).where("_n > 1 or _gone")
-    judged = materialize(judged, "simhash-judged")
-    keyed = docs.select("*", *row_key("doc_id", "text")).join(checked(judged), ["_k1", "_k2"], "left")
-    single = keyed.where(F.col("_n").isNull()).select(*docs.columns)
-    if judged.where("not _gone").isEmpty():
-        return single
-    return single.unionByName(keyed.where(~F.col("_gone")).dropDuplicates(["_k1", "_k2"]).select(*docs.columns))
+    apart, at = positional(docs)
+    keyed = apart.select("*", *row_key(at["doc_id"], at["text"]))
+    grouped = _grouped(keyed.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")), words, distance, bucket)
+    return first_of_groups(keyed, grouped.select(F.col("doc_id").alias("_id"), "_k1", "_k2", F.col("_group").alias("_root")), docs.columns)

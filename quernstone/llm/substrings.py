@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, materialize, retexted, row_key, slices, text_bytes
+from .common import arrow_map, discard, materialize, positional, retexted, row_key, slices, text_bytes
 from .components import checked
 from .suffixes import repeated_windows
 
@@ -339,15 +339,17 @@ def digest_repeats(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
 def drop_repeats(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
     """The rows of `docs`, all of them and with all their columns, their texts without what remove_repeats removes.
 
-    Bytes left of a character that was cut go as well. A null text stays null.
+    Bytes left of a character that was cut go as well. A null text stays null; a null doc_id and repeated
+    rows are as in remove_repeats; no rows, no result; names of other columns don't matter.
     """
-    spans = materialize(repeated_spans(docs, length, hot), "substring-spans")
+    apart, at = positional(docs)
+    spans = materialize(repeated_spans(apart.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")), length, hot), "substring-spans")
 
     def left(text: bytes, own) -> bytes:
         kept, at = [], 0
-        for a, b in merged([(s["a"], s["b"]) for s in own or ()]):
+        for a, b in merged([(s["a"], s["b"]) for s in own]):
             kept.append(text[at:a])
             at = b
         return b"".join([*kept, text[at:]])
 
-    return retexted(docs.select("*", *row_key("doc_id", "text")).join(spans, ["_k1", "_k2"], "left"), docs.schema, "_spans", left)
+    return retexted(docs, spans, "_spans", left)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quernstone.llm import language, multiindex, packing, quality, registry, similar, simhash
+from quernstone.llm import language, longprints, multiindex, packing, quality, registry, simhash
 from quernstone.llm.components import components
 from quernstone.llm.tokens import public_tokenizer
 from tests.llm.corpus import frame, rows, same, words
@@ -141,9 +141,9 @@ def test_edited_copies_are_dropped(spark):
     far = sum((plain_fingerprint(" ".join(texts[i]), 5) ^ plain_fingerprint(" ".join(texts[j]), 5)).bit_count() > 5 for i, j in links)
     root = grouped(len(sets), links)
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)] + [(300, None), (0, " ".join(texts[0])), (0, " ".join(texts[0]) + " ")], "doc_id long, text string").repartition(3)
-    got = sorted(r["doc_id"] for r in similar.drop_similar(df).collect())
+    got = sorted(r["doc_id"] for r in longprints.drop_similar(df).collect())
     assert far > 50 and got == sorted(set(root))
-    assert similar.drop_similar(df.limit(0)).count() == 0
+    assert longprints.drop_similar(df.limit(0)).count() == 0
 
 
 # --- vectors ----------------------------------------------------------------------------------------
