@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import common, lines, packing, quality, similar, substrings
+from quernstone.llm import common, lines, longprints, packing, quality, substrings
 from quernstone.llm.tokens import public_tokenizer
 
 
@@ -25,7 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: a Jaccard similarity of 0.8 or more on five-word shingles."""
-    return similar.drop_similar(docs, words=5)
+    return longprints.drop_similar(docs, words=5)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
