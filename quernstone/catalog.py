@@ -21,6 +21,7 @@ def register(spark: SparkSession, folder: str, names: Iterable[str]) -> None:
         table(spark, folder, name).createOrReplaceTempView(name)
 
 
+# The example tables' sizes, remainders, dates and segments.
 def example_orders(spark: SparkSession, rows: int = 20_000) -> DataFrame:
     """order_id from 1 on, a hundred customers in turn, even orders in 2024 and odd ones in 2023."""
     return spark.range(1, rows + 1).select(

@@ -1,7 +1,8 @@
 """Queries as things with a life: submit, status, metrics, fetch, cancel.
 
 Spark schedules; this keeps the state that a client sees. A query runs in a thread of
-its own under a job tag, so that cancelling it stops its jobs and nothing else.
+its own under a job tag, so that cancelling it stops its jobs and nothing else. Results
+are written to the shared folder and read from there file by file.
 """
 
 from __future__ import annotations
@@ -12,21 +13,27 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark import InheritableThread
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import NullType, StringType, StructField, StructType
 
 from .errors import EngineError, FailedPrecondition, InvalidArgument, NotFound
 from .metrics import TASKS, task_rows
 from .plans import ir
 from .plans.compile import compile_plan
+from .session import shared_folder
+from .sql import prepared
 from .streaming.ipc import encode_batch
 
 QUEUED, RUNNING, SUCCEEDED, FAILED, CANCELLED = "QUEUED", "RUNNING", "SUCCEEDED", "FAILED", "CANCELLED"
 #: Where a state may go; what isn't listed is an end.
 NEXT = {QUEUED: {RUNNING, FAILED, CANCELLED}, RUNNING: {SUCCEEDED, FAILED, CANCELLED}}
 
+#: Rows of a file of a result, at most, which is what a fetch holds at once; rows of a chunk, at most.
+FILE_ROWS, CHUNK_ROWS = 1_000_000, 65_536
+
 
 @dataclass
 class Query:
@@ -36,8 +43,8 @@ class Query:
     state: str = QUEUED
     error_message: str = ""
     submitted: float = field(default_factory=time.time)
-    batches: list[pa.RecordBatch] | None = None
-    schema: pa.Schema | None = None
+    result: str | None = None
+    schema: StructType | None = None
     thread: threading.Thread | None = None
     ended: threading.Event = field(default_factory=threading.Event)
 
@@ -73,11 +80,11 @@ class QueryManager:
             if isinstance(query, ir.Node) or is_plan:
                 node = query if isinstance(query, ir.Node) else ir.loads(query)
                 df = compile_plan(self.spark, node, self.tables)
+                df.schema  # analysed now, so that mistakes show at once
             elif isinstance(query, str) and query.strip():
-                df = self.spark.sql(query)
+                return prepared(self.spark, query)
             else:
                 raise InvalidArgument("empty query")
-            df.schema  # analysed now, so that mistakes show at once
         except (AnalysisException, ParseException) as wrong:
             raise InvalidArgument(str(wrong).splitlines()[0]) from wrong
         return lambda: df
@@ -98,12 +105,15 @@ class QueryManager:
         with self._slots:
             if not self._to(own, RUNNING):
                 return
+            self.spark.sparkContext.setInterruptOnCancel(True)
             self.spark.sparkContext.addJobTag(self._tag(own))
             try:
-                table = own.make().toArrow()
-                with self._lock:
-                    if own.state == RUNNING:
-                        own.batches, own.schema = [b for b in table.to_batches(65_536) if b.num_rows], table.schema
+                df = own.make()
+                own.schema, own.result = df.schema, f"{shared_folder(self.spark)}/result-{self._mark}-{own.id}"
+                # by position: a result may have two columns of one name; a column of nulls alone is written as text
+                apart = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+                apart = apart.select(*(F.col(c).cast("string").alias(c) if kind == "void" else c for c, kind in apart.dtypes))
+                apart.write.option("maxRecordsPerFile", FILE_ROWS).parquet(own.result)
                 self._to(own, SUCCEEDED)
             except Exception as wrong:  # whatever ends the job: the state says which it was
                 with self._lock:
@@ -112,13 +122,36 @@ class QueryManager:
                 self._to(own, FAILED)
             finally:
                 self.spark.sparkContext.removeJobTag(self._tag(own))
+                if own.state != SUCCEEDED:
+                    self._delete(own)
+
+    def _stop(self, own: Query) -> None:
+        """Cancels the query's jobs until its thread has ended: one may begin after the first call."""
+
+        def run() -> None:
+            while own.thread is not None and own.thread.is_alive():
+                self.spark.sparkContext.cancelJobsWithTag(self._tag(own))
+                own.thread.join(0.2)
+
+        threading.Thread(target=run, daemon=True).start()
+
+    def _files(self, own: Query) -> tuple[object, list[str]]:
+        """The file system of the result and its data files in order."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(own.result)
+        system = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [str(f.getPath().toString()) for f in system.listStatus(place)] if system.exists(place) else []
+        return system, sorted(f for f in found if f.rpartition("/")[2].startswith("part-"))
+
+    def _delete(self, own: Query) -> None:
+        if own.result is not None:
+            self._files(own)[0].delete(self.spark._jvm.org.apache.hadoop.fs.Path(own.result), True)
 
     def _late(self, own: Query, timeout_ms: int) -> None:
         with self._lock:
             if own.state in NEXT:
                 own.error_message = f"took longer than {timeout_ms} ms"
                 self._to(own, CANCELLED)
-        self.spark.sparkContext.cancelJobsWithTag(self._tag(own))
+                self._stop(own)
 
     def _of(self, query_id: str) -> Query:
         with self._lock:
@@ -147,14 +180,28 @@ class QueryManager:
         own = self._of(query_id)
         if own.state != SUCCEEDED:
             raise FailedPrecondition(f"{query_id} is {own.state}")
-        return (encode_batch(b) for b in own.batches or ())
+        return self._chunks(own)
+
+    def _chunks(self, own: Query) -> Iterator[bytes]:
+        written = StructType([StructField(f"c{i}", StringType() if isinstance(f.dataType, NullType) else f.dataType) for i, f in enumerate(own.schema)])
+        for path in self._files(own)[1]:
+            for batch in self.spark.read.schema(written).parquet(path).toArrow().rename_columns(own.schema.names).to_batches(CHUNK_ROWS):
+                if batch.num_rows:
+                    yield encode_batch(batch)
+
+    def forget(self, query_id: str) -> None:
+        """Deletes an ended query's result; it can't be fetched any more."""
+        own = self._of(query_id)
+        if own.state in NEXT:
+            raise FailedPrecondition(f"{query_id} is {own.state}")
+        self._delete(own)
 
     def cancel(self, query_id: str) -> None:
         """Ends a queued or running query and stops its jobs; one that has ended can't be cancelled."""
         own = self._of(query_id)
         if not self._to(own, CANCELLED):
             raise FailedPrecondition(f"{query_id} is {own.state}")
-        self.spark.sparkContext.cancelJobsWithTag(self._tag(own))
+        self._stop(own)
 
 
 __all__ = ["CANCELLED", "FAILED", "QUEUED", "RUNNING", "SUCCEEDED", "EngineError", "QueryManager"]

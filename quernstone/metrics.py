@@ -5,9 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tasks asked for at once.
+PAGE = 10_000
 TASKS = "query_id string, stage_id int, task_id long, start_unix_ms long, end_unix_ms long, output_rows long, output_bytes long"
 
 
+def _tasks_of(spark: SparkSession, store, stage: int) -> list:
+    """The tasks of a stage that succeeded, page by page over all attempts; of one partition the last."""
+    v1, found = spark._jvm.org.apache.spark.status.api.v1, {}
+    for attempt in range(store.lastStageAttempt(stage).attemptId() + 1):
+        at = 0
+        while (tasks := store.taskList(stage, attempt, at, PAGE, v1.TaskSorting.ID, spark._jvm.java.util.ArrayList())).size():
+            for task in (tasks.apply(k) for k in range(tasks.size())):
+                if task.status() == "SUCCESS" and not task.taskMetrics().isEmpty():
+                    found[task.index()] = task
+            at += PAGE
+    return list(found.values())
+
+
 def task_rows(spark: SparkSession, query_id: str, tag: str) -> list[tuple]:
     """TASKS rows of the jobs that ran under a job tag."""
     sc = spark.sparkContext._jsc.sc()
@@ -23,12 +38,7 @@ def task_rows(spark: SparkSession, query_id: str, tag: str) -> list[tuple]:
             if stage in seen:
                 continue
             seen.add(stage)
-            attempt = store.lastStageAttempt(stage)
-            tasks = store.taskList(stage, attempt.attemptId(), 1 << 20)
-            for t in range(tasks.size()):
-                task = tasks.apply(t)
-                if task.taskMetrics().isEmpty():
-                    continue
+            for task in _tasks_of(spark, store, stage):
                 m, start = task.taskMetrics().get(), task.launchTime().getTime()
                 took = task.duration().get() if task.duration().isDefined() else m.executorRunTime()
                 out, shuffled = m.outputMetrics(), m.shuffleWriteMetrics()

@@ -48,11 +48,14 @@ class Compiler:
         how = node.fields.get("how", "inner")
         if how not in HOWS:
             raise NotExecutable(f"Join: unknown how {how!r}")
-        left, right = (self(n).alias(self._alias(n, k)) for n, k in zip(node.inputs, "lr", strict=True))
+        names = [self._alias(n, k) for n, k in zip(node.inputs, "lr", strict=True)]
+        if names[0] == names[1]:
+            names = ["l", "r"]
+        left, right = (self(n).alias(name) for n, name in zip(node.inputs, names, strict=True))
         return self._checked(node, lambda: left.join(right, F.expr(node.fields["on"]), how))
 
     def _alias(self, node: Node, default: str) -> str:
-        """The name that the join condition uses for a side: its only table's first letter, as in o.cust_id = c.id."""
+        """The name that the join condition uses for a side: its only table's first letter, as in o.cust_id = c.id; l and r where that doesn't tell the sides apart."""
         tables = [n.fields["table"] for n in node.walk() if n.kind == "Scan"]
         return tables[0][0].lower() if len(tables) == 1 else default
 

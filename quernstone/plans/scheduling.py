@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["query_id", "fragment_id", "partition"]
@@ -22,42 +22,81 @@ def query_states(events: DataFrame) -> DataFrame:
     return queries.join(ended, "query_id", "left").select("query_id", F.coalesce("ended", F.when(F.col("ran"), "RUNNING"), F.lit("QUEUED")).alias("state"))
 
 
+def with_lost_workers(events: DataFrame, lost: DataFrame) -> DataFrame:
+    """The events of task_phases and, for each row of `lost` (worker_id, seq), a LOST event for every task that was ever sent to that worker. seq counts over all tasks."""
+    sent = events.where("event = 'DISPATCH'").select(*KEY, "worker_id").distinct()
+    gone = sent.join(lost.select("worker_id", "seq"), "worker_id").select(*KEY, "seq", F.lit("LOST").alias("event"), "worker_id", F.lit(None).cast("string").alias("message"))
+    return events.select(*KEY, "seq", "event", "worker_id", "message").unionByName(gone)
+
+
 def task_phases(events: DataFrame) -> DataFrame:
-    """Rows (KEY, phase, worker_id, error_message) after events (KEY, seq, event, worker_id, message).
+    """Rows (KEY, phase, worker_id, error_message, ended) after events (KEY, seq, event, worker_id, message).
 
-    DISPATCH takes a PENDING task to DISPATCHED; REVERT and REQUEUE take it back; SUCCESS and FAILURE
-    end a DISPATCHED one; CANCEL ends PENDING and DISPATCHED ones. All else is ignored. worker_id is
-    kept while DISPATCHED and when DONE. A task's log is folded in order; it is as long as its retries.
+    DISPATCH takes a PENDING task to DISPATCHED; REVERT and REQUEUE take it back, and so does LOST
+    if its worker is the task's; SUCCESS and FAILURE end a DISPATCHED one; CANCEL ends PENDING and
+    DISPATCHED ones. All else is ignored. worker_id is kept while DISPATCHED and when DONE; ended is the seq of a
+    failure. A task's log is folded in order; it is as long as its retries.
     """
     log = events.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("seq", "event", "worker_id", "message"))).alias("log"))
-    start = F.struct(F.lit("PENDING").alias("phase"), F.lit(None).cast("string").alias("worker_id"), F.lit(None).cast("string").alias("error_message"))
+    none, never = F.lit(None).cast("string"), F.lit(None).cast(events.schema["seq"].dataType)
+
+    def to(phase: str, worker: Column = none, message: Column = none, ended: Column = never) -> Column:
+        return F.struct(F.lit(phase).alias("phase"), worker.alias("worker_id"), message.alias("error_message"), ended.alias("ended"))
 
     def step(now: Column, e: Column) -> Column:
-        to = lambda phase, worker=F.lit(None).cast("string"), message=F.lit(None).cast("string"): F.struct(F.lit(phase).alias("phase"), worker.alias("worker_id"), message.alias("error_message"))
         pending, out = now["phase"] == "PENDING", now["phase"] == "DISPATCHED"
+        back = e["event"].isin("REVERT", "REQUEUE") | ((e["event"] == "LOST") & (e["worker_id"] == now["worker_id"]))
         return (
             F.when(pending & (e["event"] == "DISPATCH"), to("DISPATCHED", e["worker_id"]))
-            .when(out & e["event"].isin("REVERT", "REQUEUE"), to("PENDING"))
+            .when(out & back, to("PENDING"))
             .when(out & (e["event"] == "SUCCESS"), to("DONE", now["worker_id"]))
-            .when(out & (e["event"] == "FAILURE"), to("FAILED", message=e["message"]))
+            .when(out & (e["event"] == "FAILURE"), to("FAILED", message=e["message"], ended=e["seq"]))
             .when((pending | out) & (e["event"] == "CANCEL"), to("CANCELLED"))
             .otherwise(now)
         )
 
-    return log.select(*KEY, F.aggregate("log", start, step).alias("s")).select(*KEY, "s.phase", "s.worker_id", "s.error_message")
+    return log.select(*KEY, F.aggregate("log", to("PENDING"), step).alias("s")).select(*KEY, "s.*")
+
+
+def query_outcomes(phases: DataFrame) -> DataFrame:
+    """Rows (query_id, state, error_message) from task_phases: FAILED with the first failure's message, else CANCELLED, SUCCEEDED if all are done, RUNNING if any was sent out, or QUEUED."""
+    some = lambda *p: F.max(F.col("phase").isin(*p))
+    failed = F.col("phase") == "FAILED"
+    own = phases.groupBy("query_id").agg(F.min_by(F.when(failed, F.col("error_message")), F.when(failed, F.col("ended"))).alias("error_message"), some("FAILED").alias("f"), some("CANCELLED").alias("c"), some("PENDING", "DISPATCHED").alias("o"), some("DISPATCHED", "DONE").alias("r"))
+    state = F.when(F.col("f"), "FAILED").when(F.col("c"), "CANCELLED").when(~F.col("o"), "SUCCEEDED").when(F.col("r"), "RUNNING").otherwise("QUEUED")
+    return own.select("query_id", state.alias("state"), "error_message")
+
+
+def registered(workers: DataFrame) -> DataFrame:
+    """Rows (worker_id, address, slots, in_flight) for registrations (seq, address, slots): ids w-0, w-1, ... in their order, one slot where none are told.
+
+    One row per worker of a cluster is numbered.
+    """
+    number = F.row_number().over(Window.orderBy("seq")) - 1
+    return workers.select(F.concat(F.lit("w-"), number.cast("string")).alias("worker_id"), "address", F.coalesce("slots", F.lit(1)).alias("slots"), F.lit(0).alias("in_flight"))
+
+
+def slots_in_use(events: DataFrame) -> DataFrame:
+    """Rows (worker_id, in_flight) after events (worker_id, seq, event): ACQUIRE takes a slot, RELEASE frees one if any is taken.
+
+    A count that never goes below zero is the running sum less its least value so far, or zero.
+    """
+    move = F.when(F.col("event") == "ACQUIRE", 1).when(F.col("event") == "RELEASE", -1).otherwise(0)
+    summed = events.select("worker_id", "seq", F.sum(move).over(Window.partitionBy("worker_id").orderBy("seq")).alias("s"))
+    return summed.groupBy("worker_id").agg((F.max_by("s", "seq") - F.least(F.min("s"), F.lit(0))).alias("in_flight"))
 
 
 def assignments(workers: DataFrame, tasks: int) -> DataFrame:
     """Rows (n, worker_id, slot): the first `tasks` choices of the least loaded worker, without releases.
 
     Load is in_flight / slots, ties go to the lesser id as a string. The n-th choice is the n-th of all
-    free slots ordered by the load before taking it, so no loop is needed. One row per slot of the cluster
-    is sorted.
+    free slots ordered by the load before taking it, so no loop is needed. One row per free slot of the
+    cluster is ordered, in parts that keep `tasks` rows each.
     """
     free = workers.where("in_flight < slots").select("worker_id", "slots", F.explode(F.sequence(F.col("in_flight"), F.col("slots") - 1)).alias("slot"))
     ordered = free.orderBy((F.col("slot").cast("double") / F.col("slots")).asc(), "worker_id", "slot").limit(tasks)
-    numbered = ordered.select(F.struct((F.col("slot").cast("double") / F.col("slots")).alias("load"), "worker_id", "slot").alias("c")).agg(F.array_sort(F.collect_list("c")).alias("c"))
-    return numbered.select(F.posexplode("c").alias("n", "c")).select("n", "c.worker_id", "c.slot")
+    number = F.row_number().over(Window.orderBy((F.col("slot").cast("double") / F.col("slots")).asc(), "worker_id", "slot")) - 1
+    return ordered.select(number.cast("int").alias("n"), "worker_id", "slot")
 
 
 def stale_workers(heartbeats: DataFrame, now: Column, timeout: Column) -> DataFrame:
@@ -72,6 +111,6 @@ def progress(phases: DataFrame) -> DataFrame:
 
 
 def root_outputs(fragments: DataFrame, phases: DataFrame) -> DataFrame:
-    """Rows (query_id, partition, worker_id) that hold the results of complete queries: the tasks of the last fragment."""
+    """Rows (query_id, partition, worker_id) that hold the results of complete queries, in order: the tasks of the last fragment."""
     root = fragments.groupBy("query_id").agg(F.max("fragment_id").alias("fragment_id"))
-    return phases.join(root, ["query_id", "fragment_id"]).join(progress(phases).where("complete").select("query_id"), "query_id", "left_semi").select("query_id", "partition", "worker_id")
+    return phases.join(root, ["query_id", "fragment_id"]).join(progress(phases).where("complete").select("query_id"), "query_id", "left_semi").select("query_id", "partition", "worker_id").orderBy("query_id", "partition")

@@ -7,20 +7,21 @@ numbers); the others run over whole tables.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators, sources
-from .catalog import table
+from .catalog import TABLES, table
 from .functions import money, order_key
 from .metrics import scaling_efficiency
 from .plans import fragments as fr
 from .plans import ir, scheduling, tasks
 from .plans.compile import compile_plan
 from .plans.inspect import cut_plan
-from .session import profiled
+from .session import profiled, shared_folder
 from .streaming import ipc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +86,40 @@ def plan_join_agg_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compile_plan(spark, ir.loads(ir.dumps(PLAN)), tables).select(F.col("c_mktsegment").alias("segment"), "orders", money(F.col("revenue")).alias("revenue"))
 
 
+PROJECT_PLAN = ir.project(
+    ["c_custkey", "n_name AS nation", "c_acctbal * 2 AS twice"],
+    ir.exchange("RoundRobin", ir.join("c.c_nationkey = n.n_nationkey", ir.exchange({"Hash": ["c_nationkey"]}, ir.scan("customer")), ir.exchange("Broadcast", ir.scan("nation")))),
+)
+
+
+@query("SELECT c_custkey, n_name AS nation, c_acctbal * 2 AS twice FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def plan_project_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan with Project, RoundRobin and Broadcast nodes, its exchanges honoured."""
+    tables = {t: table(spark, sf_dir, t) for t in ("customer", "nation")}
+    return compile_plan(spark, ir.loads(ir.dumps(PROJECT_PLAN)), tables, honor_exchanges=True)
+
+
+def _join_plan(how: str) -> ir.Node:
+    rich = ir.filter_("c_acctbal > 0", ir.scan("customer"))
+    return ir.join("c.c_nationkey = s.s_nationkey AND c.c_custkey % 7 = s.s_suppkey % 7", ir.exchange({"Hash": ["c_nationkey"]}, rich), ir.exchange({"Hash": ["s_nationkey"]}, ir.scan("supplier")), how)
+
+
+_SIDES = "(SELECT * FROM customer WHERE c_acctbal > 0) c {} JOIN supplier s ON c.c_nationkey = s.s_nationkey AND c.c_custkey % 7 = s.s_suppkey % 7"
+
+
+def _plan_join(how: str, sql: str) -> None:
+    columns = ["c_custkey"] if how in ("left_semi", "left_anti") else ["c_custkey", "s_suppkey"]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return compile_plan(spark, _join_plan(how), {t: table(spark, sf_dir, t) for t in ("customer", "supplier")}).select(*columns)
+
+    query(f"SELECT {', '.join(columns)} FROM {_SIDES.format(sql)}", f"plan_join_{how}")(run)
+
+
+for _how, _words in (("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL"), ("left_semi", "SEMI"), ("left_anti", "ANTI")):
+    _plan_join(_how, _words)
+
+
 @query("SELECT c_mktsegment AS segment, COUNT(*) AS n, MIN(c_custkey) AS lo FROM customer GROUP BY c_mktsegment ORDER BY segment")
 def group_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("lo")).orderBy(order_key("segment"))
@@ -109,8 +144,15 @@ def _scan(name: str) -> None:
     query(f"SELECT * FROM {name}", f"scan_{name}")(lambda spark, sf_dir: table(spark, sf_dir, name))
 
 
-for _name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "benchmark", "labels", "conversations"):
-    _scan(_name)
+for _name in TABLES:
+    if _name != "embeddings":  # arrays don't compare by value everywhere: see scan_embeddings
+        _scan(_name)
+
+
+@query("SELECT vec_id, label, CAST(unnest(range(len(embedding))) AS INTEGER) AS place, CAST(unnest(embedding) AS DOUBLE) AS component FROM embeddings")
+def scan_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every component of every vector."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("place", "component")).withColumn("component", F.col("component").cast("double"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_orderkey % 100 + 1 AS bucket, CAST(l_orderkey % 50 AS DOUBLE) AS remainder,
@@ -202,11 +244,7 @@ def exchange_hash_colocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def parquet_sink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-    import uuid
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
-    return sources.write_parquet(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), f"{shared.rstrip('/')}/copy-{uuid.uuid4().hex}")
+    return sources.write_parquet(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), f"{shared_folder(spark)}/copy-{uuid.uuid4().hex}")
 
 
 @query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer", "ipc_round_trip")
@@ -356,6 +394,83 @@ def query_state_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scheduling.query_states(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("query_id"), F.col("event_id").alias("seq"), state.alias("state")))
 
 
+# The events table as a log of tasks: a query per user, six tasks each; some events are those of whole workers.
+_TASK_LOG = """SELECT CAST(user_id AS VARCHAR) AS query_id, CAST(event_id % 3 AS INTEGER) AS fragment_id, CAST(event_id % 2 AS INTEGER) AS "partition", event_id AS seq,
+CASE event_id % 13 WHEN 0 THEN 'FAILURE' WHEN 1 THEN 'SUCCESS' WHEN 2 THEN 'REVERT' WHEN 3 THEN 'REQUEUE' WHEN 4 THEN 'CANCEL' WHEN 5 THEN 'SUCCESS' ELSE 'DISPATCH' END AS event,
+CASE WHEN event_id % 13 > 5 THEN 'w-' || CAST(event_id % 4 AS VARCHAR) END AS worker_id, CASE event_id % 13 WHEN 0 THEN 'message ' || CAST(event_id AS VARCHAR) END AS message FROM events WHERE event_type <> 'error'"""
+_LOST = "SELECT 'w-' || CAST(event_id % 4 AS VARCHAR) AS worker_id, event_id AS seq FROM events WHERE event_type = 'error'"
+_LOG_PHASES = f"""WITH RECURSIVE own AS ({_TASK_LOG}), lost AS ({_LOST}), sent AS (SELECT DISTINCT query_id, fragment_id, "partition", worker_id FROM own WHERE event = 'DISPATCH'),
+every AS (SELECT * FROM own UNION ALL SELECT s.query_id, s.fragment_id, s."partition", l.seq, 'LOST', s.worker_id, NULL FROM sent s JOIN lost l USING (worker_id)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id, fragment_id, "partition" ORDER BY seq) AS k FROM every),
+fold AS (SELECT DISTINCT query_id, fragment_id, "partition", CAST(0 AS BIGINT) AS k, 'PENDING' AS phase, CAST(NULL AS VARCHAR) AS worker_id, CAST(NULL AS VARCHAR) AS error_message, CAST(NULL AS BIGINT) AS ended FROM every
+UNION ALL SELECT f.query_id, f.fragment_id, f."partition", n.k,
+CASE WHEN f.phase = 'PENDING' AND n.event = 'DISPATCH' THEN 'DISPATCHED' WHEN f.phase = 'DISPATCHED' AND (n.event IN ('REVERT', 'REQUEUE') OR (n.event = 'LOST' AND n.worker_id = f.worker_id)) THEN 'PENDING'
+WHEN f.phase = 'DISPATCHED' AND n.event = 'SUCCESS' THEN 'DONE' WHEN f.phase = 'DISPATCHED' AND n.event = 'FAILURE' THEN 'FAILED' WHEN f.phase IN ('PENDING', 'DISPATCHED') AND n.event = 'CANCEL' THEN 'CANCELLED' ELSE f.phase END,
+CASE WHEN f.phase = 'PENDING' AND n.event = 'DISPATCH' THEN n.worker_id WHEN f.phase = 'DISPATCHED' AND (n.event IN ('REVERT', 'REQUEUE', 'FAILURE', 'CANCEL') OR (n.event = 'LOST' AND n.worker_id = f.worker_id)) THEN NULL ELSE f.worker_id END,
+CASE WHEN f.phase = 'DISPATCHED' AND n.event = 'FAILURE' THEN n.message ELSE f.error_message END, CASE WHEN f.phase = 'DISPATCHED' AND n.event = 'FAILURE' THEN n.seq ELSE f.ended END
+FROM fold f JOIN numbered n ON n.query_id = f.query_id AND n.fragment_id = f.fragment_id AND n."partition" = f."partition" AND n.k = f.k + 1),
+phases AS (SELECT query_id, fragment_id, "partition", phase, worker_id, error_message, ended FROM fold QUALIFY row_number() OVER (PARTITION BY query_id, fragment_id, "partition" ORDER BY k DESC) = 1)"""
+
+
+def _log_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, k = table(spark, sf_dir, "events"), F.col("event_id") % 13
+    event = F.when(k == 0, "FAILURE").when(k.isin(1, 5), "SUCCESS").when(k == 2, "REVERT").when(k == 3, "REQUEUE").when(k == 4, "CANCEL").otherwise("DISPATCH")
+    worker = F.concat(F.lit("w-"), (F.col("event_id") % 4).cast("string"))
+    own = events.where("event_type <> 'error'").select(
+        F.col("user_id").cast("string").alias("query_id"),
+        (F.col("event_id") % 3).cast("int").alias("fragment_id"),
+        (F.col("event_id") % 2).cast("int").alias("partition"),
+        F.col("event_id").alias("seq"),
+        event.alias("event"),
+        F.when(k > 5, worker).alias("worker_id"),
+        F.when(k == 0, F.concat(F.lit("message "), F.col("event_id").cast("string"))).alias("message"),
+    )
+    lost = events.where("event_type = 'error'").select(worker.alias("worker_id"), F.col("event_id").alias("seq"))
+    return scheduling.task_phases(scheduling.with_lost_workers(own, lost))
+
+
+@query(f"{_LOG_PHASES} SELECT * FROM phases")
+def task_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks after their events and the losses of workers."""
+    return _log_phases(spark, sf_dir)
+
+
+@query(f"""{_LOG_PHASES} SELECT query_id, CASE WHEN bool_or(phase = 'FAILED') THEN 'FAILED' WHEN bool_or(phase = 'CANCELLED') THEN 'CANCELLED' WHEN bool_and(phase = 'DONE') THEN 'SUCCEEDED'
+WHEN bool_or(phase IN ('DISPATCHED', 'DONE')) THEN 'RUNNING' ELSE 'QUEUED' END AS state, arg_min(error_message, ended) FILTER (phase = 'FAILED') AS error_message FROM phases GROUP BY query_id""")
+def query_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first failure of a task fails its query."""
+    return scheduling.query_outcomes(_log_phases(spark, sf_dir))
+
+
+@query("""SELECT 'w-' || CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS VARCHAR) AS worker_id, s_name AS address, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE s_suppkey % 5 END AS INTEGER) AS slots, CAST(0 AS INTEGER) AS in_flight FROM supplier""")
+def register_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as workers; every third tells no slots."""
+    k = F.col("s_suppkey")
+    return scheduling.registered(table(spark, sf_dir, "supplier").select(k.alias("seq"), F.col("s_name").alias("address"), F.when(k % 3 != 0, (k % 5).cast("int")).alias("slots")))
+
+
+@query("""WITH RECURSIVE n AS (SELECT CAST(user_id AS VARCHAR) AS worker_id, event_id % 5 < 2 AS taken, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT DISTINCT worker_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS in_flight FROM n UNION ALL
+SELECT f.worker_id, n.k, CASE WHEN n.taken THEN f.in_flight + 1 ELSE greatest(f.in_flight - 1, 0) END FROM f JOIN n ON n.worker_id = f.worker_id AND n.k = f.k + 1)
+SELECT worker_id, in_flight FROM f QUALIFY row_number() OVER (PARTITION BY worker_id ORDER BY k DESC) = 1""")
+def release_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as slots taken and freed."""
+    event = F.when(F.col("event_id") % 5 < 2, "ACQUIRE").otherwise("RELEASE")
+    return scheduling.slots_in_use(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("worker_id"), F.col("event_id").alias("seq"), event.alias("event")))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS query_id, CAST(p AS INTEGER) AS "partition", 'w-' || CAST(p % 3 AS VARCHAR) AS worker_id FROM (SELECT s_suppkey, unnest(range(s_suppkey % 6 + 1)) AS p FROM supplier) WHERE s_suppkey % 4 <> 0 ORDER BY 1, 2""")
+def ordered_root_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as queries of two fragments; every fourth has a task of the first still pending."""
+    k = F.col("s_suppkey")
+    inputs = F.expr("array(named_struct('fragment_id', 0, 'partitioned', true))")
+    both = F.explode(F.array(F.struct(F.lit(0).alias("fragment_id"), F.lit(2).alias("tasks"), F.slice(inputs, 1, 0).alias("inputs")), F.struct(F.lit(1).alias("fragment_id"), (k % 6 + 1).cast("int").alias("tasks"), inputs.alias("inputs"))))
+    frame = table(spark, sf_dir, "supplier").select(k.cast("string").alias("query_id"), both.alias("f")).select("query_id", "f.*").withColumn("output_partitions", F.lit(1))
+    pending = (F.col("query_id").cast("long") % 4 == 0) & (F.col("fragment_id") == 0) & (F.col("partition") == 1)
+    phases = tasks.tasks(frame).select(*tasks.KEY, F.when(pending, "PENDING").otherwise("DONE").alias("phase"), F.concat(F.lit("w-"), (F.col("partition") % 3).cast("string")).alias("worker_id"))
+    return scheduling.root_outputs(frame, phases)
+
+
 #: A log of two queries' tasks (fragment, partition, seq, event, worker, message).
 TASK_LOG = [
     ("q-0", 0, 0, 1, "DISPATCH", "w-0", None), ("q-0", 0, 0, 2, "SUCCESS", None, None), ("q-0", 0, 0, 3, "FAILURE", None, "late"),
@@ -368,7 +483,7 @@ TASK_LOG = [
 
 
 def _phases(spark: SparkSession) -> DataFrame:
-    return scheduling.task_phases(spark.createDataFrame(TASK_LOG, "query_id string, fragment_id int, partition int, seq int, event string, worker_id string, message string"))
+    return scheduling.task_phases(spark.createDataFrame(TASK_LOG, "query_id string, fragment_id int, partition int, seq int, event string, worker_id string, message string")).drop("ended")
 
 
 _PHASES = """(VALUES ('q-0', 0, 0, 'DONE', 'w-0', NULL), ('q-0', 1, 0, 'PENDING', NULL, NULL), ('q-0', 2, 0, 'DISPATCHED', 'w-0', NULL), ('q-0', 2, 1, 'FAILED', NULL, 'disk full'),

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
+import tempfile
 
 from pyspark.sql import SparkSession
 
+from .errors import FailedPrecondition
+
 #: What every session needs for results that compare with other engines.
 COMMON = {
     "spark.sql.session.timeZone": "UTC",
@@ -37,3 +42,24 @@ def profiled(spark: SparkSession, profile: str) -> SparkSession:
         if key.startswith("spark.sql.") and own.conf.isModifiable(key):
             own.conf.set(key, value)
     return own
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local master, and an error on a cluster."""
+    if where := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
+        return where.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise FailedPrecondition(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
+    if not (own := _TEMPORARY.get(spark.sparkContext.applicationId)):
+        own = _TEMPORARY[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='quernstone-')}"
+    return own
+
+
+_TEMPORARY: dict[str, str] = {}
+
+
+@atexit.register
+def _remove_temporary() -> None:
+    for folder in _TEMPORARY.values():
+        shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,17 +26,24 @@ def translated(text: str) -> str:
     return "".join(p if k % 2 else outside(p) for k, p in enumerate(_LITERALS.split(text)))
 
 
+def prepared(spark: SparkSession, text: str) -> Callable[[], DataFrame]:
+    """Analyses the text now, so that mistakes show at once; what is returned runs it. A copy isn't written before."""
+    if found := _COPY.fullmatch(text):
+        if (found["format"] or "PARQUET").upper() != "PARQUET":
+            raise InvalidArgument(f"COPY writes PARQUET, not {found['format']}")
+        inner, path = prepared(spark, found["query"]), found["path"].replace("''", "'")
+        return lambda: sources.write_parquet(inner(), path).selectExpr("count(*) AS count")
+    if _SETTINGS.search(text):
+        sources.settings(spark).createOrReplaceTempView("quernstone_settings")
+    df = spark.sql(translated(text))
+    df.schema
+    return lambda: df
+
+
 def sql(spark: SparkSession, text: str) -> DataFrame:
     """Runs a query, or copies one to Parquet: COPY (query) TO 'path' STORED AS PARQUET gives the written table's count.
 
     generate_series(a, b) is a table of one column `value`, both ends included. Null order and `/`
     keep Spark's meaning: write NULLS FIRST or LAST, and `div` for whole division.
     """
-    if found := _COPY.fullmatch(text):
-        if (found["format"] or "PARQUET").upper() != "PARQUET":
-            raise InvalidArgument(f"COPY writes PARQUET, not {found['format']}")
-        written = sources.write_parquet(sql(spark, found["query"]), found["path"].replace("''", "'"))
-        return written.selectExpr("count(*) AS count")
-    if _SETTINGS.search(text):
-        sources.settings(spark).createOrReplaceTempView("quernstone_settings")
-    return spark.sql(translated(text))
+    return prepared(spark, text)()

@@ -21,10 +21,18 @@ def decode_chunk(chunk: bytes) -> list[pa.RecordBatch]:
 
 
 def to_chunks(df: DataFrame, rows: int = 65_536) -> Iterator[bytes]:
-    """The result in its order, a chunk per `rows` rows at most; an empty result has none. For results that a client can take."""
-    for batch in df.toArrow().to_batches(max_chunksize=rows):
-        if batch.num_rows:
-            yield encode_batch(batch)
+    """The result in its order, a chunk per `rows` rows at most; an empty result has none.
+
+    Chunks are made on the executors and come partition by partition, so the driver never holds the whole result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, rows):
+                yield pa.record_batch({"chunk": pa.array([encode_batch(batch.slice(k, rows))], pa.binary())})
+
+    for row in df.mapInArrow(run, "chunk binary").toLocalIterator():
+        yield bytes(row["chunk"])
 
 
 def from_chunks(chunks: Iterable[bytes], schema: pa.Schema | None = None) -> pa.Table:

@@ -197,6 +197,63 @@ def test_cancel(spark):
     assert m.wait(late, 30) == "CANCELLED" and "1500" in m.status(late)["error_message"]
 
 
+def test_cancel_at_any_moment(spark):
+    """Also between the state and the first job."""
+    m = QueryManager(spark)
+    for k in range(20):
+        own = m.submit(slow(spark))
+        time.sleep(0.02 * k)
+        m.cancel(own)
+        m._queries[own].thread.join(20)
+        assert not m._queries[own].thread.is_alive() and m.status(own)["state"] == "CANCELLED"
+
+
+def test_submitted_texts(spark, tmp_path):
+    m = QueryManager(spark)
+    copy = m.submit(f"COPY (SELECT value % 7 AS k FROM generate_series(1, 100)) TO '{tmp_path}/copied' STORED AS PARQUET")
+    assert m.wait(copy, 60) == "SUCCEEDED" and from_chunks(m.fetch(copy)).column("count").to_pylist() == [100]
+    assert spark.read.parquet(f"{tmp_path}/copied").distinct().count() == 7
+    odd = m.submit("SELECT a.value, b.value, NULL AS none FROM generate_series(1, 3) a JOIN generate_series(2, 4) b ON a.value = b.value ORDER BY 1 DESC")
+    assert m.wait(odd, 60) == "SUCCEEDED"
+    table = from_chunks(m.fetch(odd))
+    assert table.column_names == ["value", "value", "none"] and table.column(0).to_pylist() == [3, 2] and table.column(2).to_pylist() == [None, None]
+    settings = m.submit("SELECT value FROM information_schema.df_settings WHERE name = 'spark.sql.session.timeZone'")
+    assert m.wait(settings, 60) == "SUCCEEDED" and from_chunks(m.fetch(settings)).column("value").to_pylist() == ["UTC"]
+    with pytest.raises(InvalidArgument):
+        m.submit(f"COPY (SELECT 1 AS x) TO '{tmp_path}/x' STORED AS CSV")
+    m.forget(odd)
+    assert list(m.fetch(odd)) == []
+
+
+def test_large_results_come_in_order(spark, monkeypatch):
+    from quernstone import lifecycle
+
+    monkeypatch.setattr(lifecycle, "FILE_ROWS", 700)
+    m = QueryManager(spark)
+    own = m.submit(spark.range(5000, numPartitions=4).orderBy(F.desc("id")))
+    assert m.wait(own, 60) == "SUCCEEDED"
+    assert from_chunks(m.fetch(own)).column("id").to_pylist() == list(range(4999, -1, -1))
+    assert sum(r["output_rows"] for r in m.metrics(own).groupBy("stage_id").agg(F.sum("output_rows").alias("output_rows")).collect()) >= 5000
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from quernstone.session import shared_folder
+
+    context = SimpleNamespace(getConf=dict, master="spark://somewhere:7077", applicationId="x")
+    elsewhere = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: default))
+    with pytest.raises(FailedPrecondition):
+        shared_folder(elsewhere)
+    elsewhere.sparkContext.master, elsewhere.sparkContext.applicationId = "local[4]", "y"
+    assert shared_folder(elsewhere).startswith("file:") and shared_folder(spark)
+
+
+def test_two_phase_has_one_exchange(spark, data):
+    plan = queries.agg_two_phase(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_count" in plan
+
+
 def test_cancel_before_a_slot_is_free(spark):
     m = QueryManager(spark, slots=1)
     first = m.submit(slow(spark))

@@ -135,3 +135,25 @@ def test_cut_of_a_spark_plan(spark):
     assert all(r["tasks"] >= 1 for r in rows)
     with pytest.raises(ValueError):
         cut_plan(spark.range(10).groupBy("id").count())
+
+
+def test_settings_of_the_environment():
+    assert fr.expand_settings({}) == {"shuffle_partitions": 4, "default_splits": 1}
+    assert fr.expand_settings({"SCHEDULER_SHUFFLE_PARTITIONS": "16", "SCHEDULER_SCAN_SPLITS": "0"}) == {"shuffle_partitions": 16, "default_splits": 1}
+    assert fr.expand_settings({"SCHEDULER_SCAN_SPLITS": "many"})["default_splits"] == 1
+
+
+def test_unknown_partitionings_are_an_error():
+    from quernstone.plans import inspect
+
+    assert inspect.output_of("HashPartitioning") == "hash"
+    with pytest.raises(inspect.UnsupportedPartitioning):
+        inspect.output_of("KeyGroupedPartitioning")
+
+
+def test_sides_of_one_letter(spark):
+    """Tables whose names begin alike, or one table twice, are l and r."""
+    spark.range(4).createOrReplaceTempView("same_letter")
+    spark.range(2, 6).createOrReplaceTempView("same_other")
+    for right, n in (("same_other", 2), ("same_letter", 4)):
+        assert compile_plan(spark, ir.join("l.id = r.id", ir.scan("same_letter"), ir.scan(right))).count() == n
