@@ -23,8 +23,8 @@ from .common import arrow_map, slices, text_bytes
 BUCKETS = 1 << 16
 #: Languages that a model may have; more are an error, since the model goes to every task.
 LANGUAGES = 400
-#: A document's languages, at most, and what each after the first must add to the log likelihood, in halves of log(words).
-MOST, PENALTY = 4, 4.0
+#: What each language of a document after the first must add to the log likelihood, in halves of log(words).
+PENALTY = 4.0
 UNKNOWN = "und"
 
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -82,14 +82,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(own[some])], ["lang", "bucket", "n"])
 
 
+def _whole(table: pa.Table) -> pa.Table:
+    """One language's counts as one row of 32-bit floating numbers."""
+    own = np.zeros(2 * BUCKETS, np.float32)
+    own[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+    return pa.table({"lang": [table.column("lang")[0].as_py()], "counts": pa.array([own.tobytes()], pa.binary())})
+
+
 class Mixture:
     """Letter models of sorted languages, and the inference over documents."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray, add: float = 0.1):
+    def __init__(self, langs: list[str], counts: list[np.ndarray], add: float = 0.1):
         self.langs = langs
-        three, two = counts[:, :BUCKETS], counts[:, BUCKETS:]
-        self.three = np.ascontiguousarray(np.log(three + add).T, dtype=np.float32)
-        self.two = np.ascontiguousarray(np.log(two + add * 64).T, dtype=np.float32)
+        self.three, self.two = (np.empty((BUCKETS, len(langs)), np.float32) for _ in range(2))
+        for k, own in enumerate(counts):
+            self.three[:, k] = np.log(own[:BUCKETS].astype(np.float64) + add)
+            self.two[:, k] = np.log(own[BUCKETS:].astype(np.float64) + add * 64)
 
     def likelihoods(self, words: list[bytes]) -> np.ndarray:
         """Log likelihood of each word under each language."""
@@ -127,11 +135,13 @@ class Mixture:
         if langs > 1:
             share, _ = maximise(np.full((len(words), langs), 1 / langs, np.float32), rounds)
             rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
-            for k in range(2, min(MOST, langs) + 1):
+            # sets grow as long as the next language has half a word in any document
+            most = (share * n[:, None] >= 0.5).sum(1)
+            for k in range(2, int(most.max()) + 1):
                 kept = np.where(rank < k, share + 1e-6, 0)
                 mixed, fit = maximise((kept / kept.sum(1, keepdims=True)).astype(np.float32), 4)
                 fit = fit - (k - 1) * PENALTY * 0.5 * np.log(np.maximum(n, 2))
-                better = fit > value
+                better = (fit > value) & (k <= most)
                 best[better], value[better], chosen[better] = mixed[better], fit[better], k
         return best, chosen
 
@@ -143,18 +153,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame) -> Mixture | None:
     """A model of the labelled rows that aren't held out (null doc_id: not learned from); None without any.
 
-    All of them are counted; what comes to the driver is at most 2 * BUCKETS counts a language.
+    All of them are counted; what comes to the driver is one row of 4 * 2 * BUCKETS bytes a language.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("lang").cast("string").alias("lang"), text_bytes())
-    counts = arrow_map(known, _counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(counts.column("lang").to_pylist()))
-    if not langs:
-        return None
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the model may have {LANGUAGES}")
-    table = np.zeros((len(langs), 2 * BUCKETS))
-    table[np.searchsorted(np.array(langs), np.array(counts.column("lang").to_pylist())), counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
-    return Mixture(langs, table)
+    counts = arrow_map(known, _counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = counts.groupBy("lang").applyInArrow(_whole, "lang string, counts binary").limit(LANGUAGES + 1).toArrow()
+    if rows.num_rows > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages, which is what a model may have")
+    own = dict(zip(*(c.to_pylist() for c in rows.columns), strict=True))
+    return Mixture(sorted(own), [np.frombuffer(own[x], np.float32) for x in sorted(own)]) if own else None
 
 
 def identify(docs: DataFrame, model: Mixture | None = None) -> DataFrame:

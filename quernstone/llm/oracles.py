@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express at the size of the driver's tables.
 
-The others need tokenizers, XXH64, suffix orders or learned models, which SQL hasn't; tests
+The others need tokenizers, XXH64 or learned models, which SQL hasn't; tests
 compare those with brute-force versions.
 """
 
@@ -50,4 +50,17 @@ often AS (SELECT key, min(doc_id) AS first FROM n WHERE length(key) >= 10 GROUP
 m AS (SELECT n.*, often.first IS NOT NULL AND n.doc_id IS DISTINCT FROM often.first AS gone FROM n LEFT JOIN often USING (key))
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY k, doc_id"""
 
-ORACLES: dict[str, str] = {"op1_quality_rules": _QUALITY, "op2_embedding_dedup": _VECTORS, "op7_line_dedup": _LINES}
+_REPEATS = """WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT k, unnest(range(1, octet_length(b) - 198)) AS i, b FROM d WHERE octet_length(b) >= 200),
+m AS MATERIALIZED (SELECT k, i, md5(b[i:i + 199]) AS m FROM s),
+often AS (SELECT m FROM m GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS p FROM m SEMI JOIN often USING (m)),
+run AS (SELECT k, i, count(*) FILTER (p IS NULL OR i > p + 200) OVER (PARTITION BY k ORDER BY i) AS r FROM hit),
+span AS MATERIALIZED (SELECT k, min(i) AS a, max(i) + 200 AS z FROM run GROUP BY k, r),
+piece AS (SELECT k, lag(z, 1, 1) OVER (PARTITION BY k ORDER BY a) AS a, a AS z FROM span UNION ALL SELECT k, max(z), NULL FROM span GROUP BY k),
+t AS (SELECT k, unhex(string_agg(hex(b[a:coalesce(z - 1, octet_length(b))]), '' ORDER BY a)) AS t FROM (SELECT * FROM piece WHERE z IS NULL OR z > a) JOIN d USING (k) GROUP BY k),
+n AS (SELECT k, count(*) AS n, sum(z - a) AS gone FROM span GROUP BY k)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(coalesce(t.t, d.b)) AS kept_sha256
+FROM d LEFT JOIN n USING (k) LEFT JOIN t USING (k)"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": _QUALITY, "op2_embedding_dedup": _VECTORS, "op5_suffix_dedup": _REPEATS, "op7_line_dedup": _LINES}

@@ -15,9 +15,9 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import arrow_map, fresh_path, materialize, slices, text_bytes
+from .components import checked
 from .tokens import Encoder, le32, loaded
 
 #: The files' columns: shard is the file's place in the order of all, first the ids before the document in its file.
@@ -53,14 +53,18 @@ def _encoded(tokenizer: str, end_id: int | None):
     return run
 
 
-def write_documents(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0) -> None:
-    """Writes every row of `docs` to `path` in ascending doc_id order (nulls first, equal ids by text), over all files.
+def write_documents(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, options: dict[str, str] | None = None) -> None:
+    """Writes every row of `docs` to `path` in ascending doc_id order (nulls first), over all files.
 
-    A null text is an empty one: `end_id` alone. Repeated rows are written once each; other
-    columns are ignored; without rows there are files without rows, or none.
+    Rows of one doc_id, or without any, may be many: they are ordered by the first bytes of their texts, then
+    by hash, and files are cut between them as well. A null text is an empty one: `end_id` alone.
+    Repeated rows are written once each; other columns are ignored; without rows there are files
+    without rows, or none. `options` are added to OPTIONS.
     """
-    rows = docs.select("doc_id", text_bytes()).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    arrow_map(rows, _encoded(tokenizer, end_id), FORMAT).write.options(**OPTIONS).orc(path)
+    rows = docs.select("doc_id", text_bytes())
+    order = [F.col("doc_id"), F.substring("text", 1, 64).alias("_p"), F.xxhash64("text").alias("_h")]
+    rows = rows.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
+    arrow_map(rows.select("doc_id", "text"), _encoded(tokenizer, end_id), FORMAT).write.options(**OPTIONS | (options or {})).orc(path)
 
 
 def read_documents(spark: SparkSession, path: str, doc_ids: Iterable[int] | None = None) -> DataFrame:
@@ -83,15 +87,13 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digest_files(spark: SparkSession, path: str) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32) as the files have them; start counts the ids of all documents before.
 
-    The files' totals, one row a file, are added up on the driver.
+    The files' totals, one row of twelve bytes a file, are added up on the driver.
     """
     digests = materialize(arrow_map(read_documents(spark, path), _digested, "doc_id long, shard int, first long, n_tokens long, ids_crc32 long"), "orc-digests")
-    before, bases = 0, []
-    for shard, total in digests.groupBy("shard").agg(F.sum("n_tokens")).orderBy("shard").collect():
-        bases.append((shard, before))
-        before += total
-    base = spark.createDataFrame(bases, T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("_base", T.LongType())]))
-    return digests.join(F.broadcast(base), "shard").select("doc_id", (F.col("_base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    totals = digests.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").toArrow()
+    n = totals.column("n").to_numpy()
+    base = spark.createDataFrame(pa.table({"shard": totals.column("shard"), "_base": pa.array(n.cumsum() - n, pa.int64())}))
+    return digests.join(checked(base), "shard").select("doc_id", (F.col("_base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def write_and_digest(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Suffix arrays by linear grouping, and the repeated windows of a set of short strings.
+"""Suffix arrays by linear grouping (Baier, "Linear-time Suffix Sorting", CPM 2016), and the repeated windows of a set of short strings.
 
 `suffix_array` groups suffixes by Lyndon prefixes. Phase one takes groups in descending
 order: each suffix of a group is a Lyndon word that follows its previous smaller suffix,

@@ -72,19 +72,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.path = path
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.model = self.library.model
         self.spec = spec = json.loads(open(path, encoding="utf-8").read())
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.symbols = byte_symbols()
         normal, cutter = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
         steps, cutters = [x["type"] for x in normal.get("normalizers", [])], cutter.get("pretokenizers", [])
-        plain = spec["model"]["type"] == "BPE" and not spec["model"].get("byte_fallback") and not spec["model"].get("dropout") and not spec.get("post_processor")
+        model = spec["model"]
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("byte_fallback", "dropout", "ignore_merges", "continuing_subword_prefix")) and not spec.get("post_processor")
         plain = plain and not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
         self.lower = plain and steps == ["NFC", "Replace", "Lowercase"] and len(cutters) == 2 and cutters[0].get("pattern") == {"Regex": WORDS} and cutters[0]["invert"] and not cutters[1]["use_regex"]
         self.spaced = plain and not normal and cutter.get("type") == "ByteLevel" and cutter["use_regex"] and not cutter["add_prefix_space"]
+        if not (self.lower or self.spaced):
+            raise ValueError(f"this tokenizer file has settings that aren't implemented: {path}")
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model = self.library.model
+        self.starts = sorted({s[0] for s in self.special})
         self.cut = regex.compile(WORDS if self.lower else BYTES).findall
         self.unsafe, self.wide = re.compile(f"[^{SAFE}]").search, re.compile(r"\s \s").search
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -99,7 +103,7 @@ class Encoder:
             return True
         if self.spaced:
             return any(p in text for p in _PAIRS) and bool(self.wide(text))
-        return not self.lower
+        return False
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece."""
@@ -146,7 +150,7 @@ class Encoder:
 
     def values(self, text: str) -> list:
         """What is remembered of the text's words, in order. Special tokens are found in the text as it stands."""
-        if self.at_special is None or "<" not in text or not self.at_special.search(text):
+        if not any(c in text for c in self.starts) or not self.at_special.search(text):
             return self.segment(text)
         out: list = []
         for part in self.at_special.split(text):
