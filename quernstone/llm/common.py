@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -16,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -30,31 +30,31 @@ def importable(spark: SparkSession) -> None:
     env.setdefault("OPENBLAS_NUM_THREADS", "1")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    if where := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
-        return where.rstrip("/")
-    if not (own := _OWN.get(spark.sparkContext.applicationId)):
-        own = _OWN[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='quernstone-')}"
-    return own
-
-
-_OWN: dict[str, str] = {}
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    _WRITTEN[path] = threading.get_ident()
     return path
 
 
-_WRITTEN: list[str] = []
+#: By path, the thread that wrote it.
+_WRITTEN: dict[str, int] = {}
+
 
+def written() -> set[str]:
+    """The tables that exist, for `clean`."""
+    return set(_WRITTEN)
 
-def clean(spark: SparkSession) -> None:
-    """Deletes all tables that this process has materialized: to be called when no result that reads them is needed any more."""
-    while _WRITTEN:
-        _delete(spark, _WRITTEN.pop())
+
+def clean(spark: SparkSession, keep: DataFrame | None = None, before: set[str] | None = None) -> None:
+    """Deletes the tables that this process has materialized: to be called when no result that reads them is needed any more.
+
+    What `keep` reads stays. With `before`, only what this thread has written since then goes.
+    """
+    kept = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()} if keep is not None else set()
+    for path, thread in list(_WRITTEN.items()):
+        if path.rsplit("/", 1)[-1] not in kept and (before is None or path not in before and thread == threading.get_ident()):
+            _delete(spark, path)
+            del _WRITTEN[path]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -62,12 +62,6 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-@atexit.register
-def _remove_own() -> None:
-    for folder in _OWN.values():
-        shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
-
-
 def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Writes `df` once as Parquet in the shared folder and reads it back: lineage ends at files that outlive executors."""
     path = fresh_path(df.sparkSession, label)
@@ -117,7 +111,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def discard(written: DataFrame) -> None:
-    """Deletes the files of a materialized table that nothing reads any more, and lets Spark drop shuffle files of dead plans."""
+    """Deletes the files of a materialized table that nothing reads any more. The JVM is asked for its garbage, as Spark's cleaner does now and then: shuffle files go when their plans are collected."""
     spark = written.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
         _delete(spark, path)

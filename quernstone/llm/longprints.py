@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, discard, materialize, positional, row_key, slices, text_bytes
 from .components import checked, components
-from .simhash import Forest, first_of_groups
+from .simhash import Forest, blocked, first_of_groups, spread
 
 #: The least similarity, as a fraction; and the share of pairs of just that similarity whose fingerprints shall meet.
 LEAST, RECALL = (4, 5), 0.985
@@ -142,20 +142,7 @@ def group_forest(other: np.ndarray, prints: np.ndarray, half: int, near: int = N
             hit = _apart(own[i], own[j]) <= near
             forest.link(order[i[hit]], order[j[hit]])
         return forest.roots()
-    rest, root = np.arange(n), np.arange(n)
-    while len(rest):
-        first, reached, rest = rest[0], [rest[:1]], rest[1:]
-        while reached and len(rest):
-            now = reached.pop()
-            for k in range(0, len(now), 128):
-                if not len(rest):
-                    break
-                hit = (_apart(prints[now[k : k + 128], None], prints[None, rest]) <= near).any(0)
-                if hit.any():
-                    root[rest[hit]] = first
-                    reached.append(rest[hit])
-                    rest = rest[~hit]
-    return root
+    return spread(n, lambda some, others: _apart(prints[some, None], prints[None, others]) <= near)
 
 
 def _met(half: int):
@@ -194,19 +181,12 @@ def _met(half: int):
     return run
 
 
-def _blocked(rows: DataFrame, sizes: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
-    """`rows` with (_i, _j): 0, 0 where `sizes` (keys, _blocks) has nothing, else once for each pair of blocks that the row's own is in."""
-    own = rows.join(checked(sizes), keys, "left").withColumn("_own", F.pmod(F.xxhash64(*spread), F.coalesce("_blocks", F.lit(1))).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1)).alias("_with")
-    return own.select("*", other).withColumn("_i", F.least("_own", "_with").cast("int")).withColumn("_j", F.greatest("_own", "_with").cast("int")).drop("_blocks", "_with")
-
-
 def candidate_links(classes: DataFrame, half: int, count: int, group: int = GROUP) -> DataFrame:
     """Rows (_a, _b) that join fingerprints (columns _f1, _f2, _print; _f1 is unique) into groups of candidates."""
     dealt = arrow_map(classes.select("_f1", "_f2", "_print"), _dealt(half, count), "_key long, _other int, _f1 long, _f2 long")
     sizes = materialize(dealt.groupBy("_key").agg(F.count("*").alias("_m")).where(F.col("_m") > group).select("_key", F.ceil(F.col("_m") / group).cast("int").alias("_blocks")), "simhash-hot")
     split = not sizes.isEmpty()
-    rows = _blocked(dealt, sizes, ["_key"], ["_f1"]).drop("_own") if split else dealt.select("*", F.lit(0).alias("_i"), F.lit(0).alias("_j"))
+    rows = blocked(dealt, sizes, ["_key"], ["_f1"]).drop("_own") if split else dealt.select("*", F.lit(0).alias("_i"), F.lit(0).alias("_j"))
     by = ["_key", "_i", "_j"]
     return materialize(arrow_map(rows.repartition(*(by if split else by[:1])).sortWithinPartitions(*by), _met(half), "_a long, _b long"), "simhash-candidates")
 
@@ -283,7 +263,7 @@ def similar_groups(docs: DataFrame, words: int = 5, group: int = GROUP, block: i
     sets = prints.groupBy("_node").agg(F.min(F.struct("_f1", "_size", "_k1", "_k2")).alias("_r")).select("_node", "_r.*")
     sets = materialize(sets.join(checked(roots), sets["_f1"] == roots["node"], "left").select("_node", "_size", "_k1", "_k2", F.coalesce("root", "_f1").alias("_root")), "simhash-sets")
     many = materialize(sets.groupBy("_root").agg(F.count("*").alias("_m"), F.sum(F.col("_size") + OWN).alias("_w")).where("_m > 1").select("_root", F.ceil(F.col("_w") / block).cast("int").alias("_blocks")), "simhash-groups")
-    asked = materialize(_blocked(sets.join(checked(many.select("_root")), "_root"), many.where("_blocks > 1"), ["_root"], ["_node"]).select("_root", "_i", "_j", "_own", "_node", "_k1", "_k2"), "simhash-asked")
+    asked = materialize(blocked(sets.join(checked(many.select("_root")), "_root"), many.where("_blocks > 1"), ["_root"], ["_node"]).select("_root", "_i", "_j", "_own", "_node", "_k1", "_k2"), "simhash-asked")
     texts = docs.select("_k1", "_k2", "_text").join(checked(asked), ["_k1", "_k2"]).select("_root", "_i", "_j", "_own", "_node", "_text")
     by = ["_root", "_i", "_j"]
     found = materialize(arrow_map(texts.repartition(*by).sortWithinPartitions(*by), _verified(words), "_a long, _b long"), "simhash-links")

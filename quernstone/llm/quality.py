@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, materialize, slices, text_bytes
+from .common import arrow_map, materialize, positional, slices, text_bytes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -147,14 +147,13 @@ def _with_hosts(rows: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, max_host_rate: float = 0.5, **limits: int) -> DataFrame:
-    """The rows of `docs` that quality_verdicts keeps, with all their columns. Texts are measured twice rather than shuffled."""
-    rejected = _rejected(materialize(measures(docs), "quality-measures"), max_host_rate, limits)
-    schema = docs.schema
-    extended = T.StructType([*schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])
-    names = list(range(len(schema.fields)))
-    # positions for names: a column of `docs` may be called like a measure
-    apart = docs.toDF(*(f"_{i}" for i in names))
-    text, source = (f"_{schema.names.index(c)}" for c in ("text", "source"))
+    """The rows of `docs` that quality_verdicts keeps, with all their columns. Texts are measured twice rather than shuffled.
+
+    Nulls, repeated rows and empty tables are as in quality_verdicts; names of other columns don't matter.
+    """
+    apart, at = positional(docs)
+    own, text, source = apart.columns, at["text"], at["source"]
+    rejected = _rejected(materialize(measures(apart.select(*(F.col(at[c]).alias(c) for c in ("doc_id", "text", "source")))), "quality-measures"), max_host_rate, limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -163,6 +162,6 @@ def keep_good(docs: DataFrame, max_host_rate: float = 0.5, **limits: int) -> Dat
                 columns = zip(*(measure(t or b"") for t in part.column("_size").to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, pa.int64()) for c in columns)], [*whole.schema.names, *MEASURES])
 
-    measured = arrow_map(apart, run, T.StructType([T.StructField(f"_{i}", f.dataType) for i, f in enumerate(schema.fields)] + extended.fields[len(names) :]))
+    measured = arrow_map(apart, run, T.StructType([*apart.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)]))
     fine = measured.where(~(rules(**limits)["too_short"] | rules(**limits)["repetitive"])).withColumn("source", F.col(source))
-    return _with_hosts(fine, rejected).where(F.col("_rejected").isNull()).select(*(F.col(f"_{i}").alias(n) for i, n in enumerate(schema.names)))
+    return _with_hosts(fine, rejected).where(F.col("_rejected").isNull()).select(*own).toDF(*docs.columns)

@@ -6,14 +6,16 @@ bit as a wildcard: two fingerprints within reach share such a variant. Equal
 fingerprints are one class and indexed once. Variants are brought together by an
 equality shuffle; within a variant's bucket distances are verified in blocks and only a
 spanning forest of the links is passed on, never the pairs. Buckets over BUCKET
-fingerprints aren't held by a task: their members go through d wildcard bits at once,
-where equal keys are within reach by construction and a minimum per key is enough.
+fingerprints aren't held by a task: up to a distance of MASKED their members go through d
+wildcard bits at once, where equal keys are within reach by construction and a minimum per
+key is enough; beyond, they are cut into blocks that meet pairwise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +27,8 @@ from .components import checked, components
 BITS = 64
 #: Fingerprints of a bucket that one task holds (8 bytes each).
 BUCKET = 500_000
+#: Distances up to which members of larger buckets go through wildcard bits: 64 * 63 / 2 rows each at 2.
+MASKED = 2
 #: Fingerprints of a bucket that are compared all with all, in blocks; more are looked up mask by mask.
 DENSE = 6_000
 
@@ -120,6 +124,26 @@ class Forest:
             np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
 
 
+def spread(n: int, near):
+    """Roots of 0 to n-1 under links that near(some, others) tells, a matrix: what has been reached is compared with what hasn't."""
+    import numpy as np
+
+    rest, root = np.arange(n), np.arange(n)
+    while len(rest):
+        first, reached, rest = rest[0], [rest[:1]], rest[1:]
+        while reached and len(rest):
+            now = reached.pop()
+            for k in range(0, len(now), 128):
+                hit = near(now[k : k + 128], rest).any(0)
+                if hit.any():
+                    root[rest[hit]] = first
+                    reached.append(rest[hit])
+                    rest = rest[~hit]
+                if not len(rest):
+                    break
+    return root
+
+
 def bucket_links(prints, distance: int):
     """(node, root) arrays, a spanning forest of the links among sorted distinct fingerprints."""
     import numpy as np
@@ -134,6 +158,10 @@ def bucket_links(prints, distance: int):
     else:
         differ = int(np.bitwise_or.reduce(prints ^ prints[0]))
         free = [b for b in range(BITS) if differ >> b & 1]
+        if sum(comb(len(free), size) for size in range(1, distance + 1)) > n:  # more lookups than comparisons
+            root = spread(n, lambda some, others: np.bitwise_count(prints[some, None] ^ prints[None, others]) <= distance)
+            node = np.flatnonzero(root != np.arange(n))
+            return prints[node], prints[root[node]]
         for size in range(1, distance + 1):
             for bits in combinations(free, size):
                 other = prints ^ np.uint64(sum(1 << b for b in bits))
@@ -149,13 +177,13 @@ def _bucket_links(distance: int, bucket: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def out(a, b, over: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), over))], ["_a", "_b", "_over"])
+        def out(a, b, over=None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([over] * len(a), pa.int64())], ["_a", "_b", "_over"])
 
         def verified(parts) -> pa.RecordBatch | None:
             prints = np.sort(np.concatenate(parts))
             a, b = bucket_links(prints, distance)
-            return out(a, b, False) if len(a) else None
+            return out(a, b) if len(a) else None
 
         key, held, size, over = None, [], 0, False
         for batch in batches:  # sorted by key
@@ -171,7 +199,7 @@ def _bucket_links(distance: int, bucket: int):
             a, b = prints[cuts[pairs]], prints[cuts[pairs] + 1]
             near = np.bitwise_count(a ^ b) <= distance
             if near.any():
-                yield out(np.maximum(a, b)[near], np.minimum(a, b)[near], False)
+                yield out(np.maximum(a, b)[near], np.minimum(a, b)[near])
             for r in np.flatnonzero(~inner | (sizes > 2)).tolist():
                 run_prints = prints[cuts[r] : cuts[r + 1]]
                 if keys[cuts[r]] != key:
@@ -184,7 +212,7 @@ def _bucket_links(distance: int, bucket: int):
                     over = True
                 if over and held:
                     all_held = np.concatenate(held)
-                    yield out(all_held, all_held, True)
+                    yield out(all_held, all_held, int(key))
                     held = []
         if not over and size > 1 and (found := verified(held)):
             yield found
@@ -192,6 +220,43 @@ def _bucket_links(distance: int, bucket: int):
     return run
 
 
+def _block_links(distance: int):
+    """Forests of pairs of blocks that come sorted by (_key, _i, _j)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def linked(parts) -> Iterator[pa.RecordBatch]:
+            a, b = bucket_links(np.unique(np.concatenate(parts)), distance)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["_a", "_b"])
+
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("_key", "_i", "_j")], 1)
+            prints = batch.column("_fp").to_numpy().view(np.uint64)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if (now := tuple(keys[a])) != key:
+                    if held:
+                        yield from linked(held)
+                    key, held = now, []
+                held.append(prints[a:b].copy())
+        if held:
+            yield from linked(held)
+
+    return run
+
+
+def blocked(rows: DataFrame, sizes: DataFrame, keys: list[str], spread_by: list[str]) -> DataFrame:
+    """`rows` with (_own, _i, _j): the row's block, and 0, 0 where `sizes` (keys, _blocks) has nothing, else once for each pair of blocks that its own is in."""
+    own = rows.join(checked(sizes), keys, "left").withColumn("_own", F.pmod(F.xxhash64(*spread_by), F.coalesce("_blocks", F.lit(1))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1)).alias("_with")
+    return own.select("*", other).withColumn("_i", F.least("_own", "_with").cast("int")).withColumn("_j", F.greatest("_own", "_with").cast("int")).drop("_blocks", "_with")
+
+
 def _masked(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -211,9 +276,15 @@ def fingerprint_links(prints: DataFrame, distance: int, bucket: int = BUCKET) ->
         raise ValueError("distance must be 1 to 7")
     variants = arrow_map(prints.select("_fp"), _variants(distance), "_key long, _fp long")
     dealt = variants.repartition("_key").sortWithinPartitions("_key")
-    found = materialize(arrow_map(dealt, _bucket_links(distance, bucket), "_a long, _b long, _over boolean"), "simhash-links")
-    links, over = found.where(~F.col("_over")).select("_a", "_b"), found.where("_over").select(F.col("_a").alias("_fp")).distinct()
-    if not found.where("_over").isEmpty():
+    found = materialize(arrow_map(dealt, _bucket_links(distance, bucket), "_a long, _b long, _over long"), "simhash-links")
+    links, over = found.where("_over is null").select("_a", "_b"), found.where("_over is not null").select(F.col("_over").alias("_key"), F.col("_a").alias("_fp"))
+    if not over.isEmpty() and distance > MASKED:
+        sizes = over.groupBy("_key").agg(F.ceil(F.count("*") / min(bucket, DENSE)).cast("int").alias("_blocks"))
+        by = ["_key", "_i", "_j"]
+        met = blocked(over, materialize(sizes, "simhash-hot"), ["_key"], ["_fp"]).select(*by, "_fp").repartition(*by).sortWithinPartitions(*by)
+        links = links.unionByName(materialize(arrow_map(met, _block_links(distance), "_a long, _b long"), "simhash-block-links"))
+    elif not over.isEmpty():
+        over = over.select("_fp").distinct()
         masked = materialize(arrow_map(over, _masked(distance), "_mask long, _rest long, _fp long"), "simhash-masked")
         least = materialize(masked.groupBy("_mask", "_rest").agg(F.min("_fp").alias("_b"), F.max("_fp").alias("_most")).where("_b < _most").drop("_most"), "simhash-least")
         links = links.unionByName(masked.join(least, ["_mask", "_rest"]).where("_fp != _b").select(F.col("_fp").alias("_a"), "_b"))

@@ -11,7 +11,7 @@ import pyarrow.orc
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm import attribution, bpe, lines, orc, packing, quality, substrings, suffixes
+from quernstone.llm import attribution, bpe, lines, longprints, orc, packing, quality, registry, simhash, substrings, suffixes
 from quernstone.llm.common import clean, materialize
 from quernstone.llm.tokens import Encoder, Remembered, le32, public_tokenizer
 from tests.llm.corpus import frame, rows, same, words
@@ -62,6 +62,34 @@ def test_random_texts_by_the_library(coders):
         assert agree(coders, text), repr(text)
 
 
+def changed_file(path, tmp_path, change):
+    import json
+
+    spec = json.loads(open(path, encoding="utf-8").read())
+    change(spec)
+    out = tmp_path / "tokenizer.json"
+    out.write_text(json.dumps(spec), encoding="utf-8")
+    return str(out)
+
+
+def test_special_tokens_of_any_spelling(tmp_path):
+    def change(spec):
+        spec["added_tokens"].append({"id": len(spec["model"]["vocab"] | {t["content"]: 0 for t in spec["added_tokens"]}), "content": "[SEP]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+
+    path = changed_file(BYTE, tmp_path, change)
+    coders = Encoder(path), bpe.MergeEncoder(path)
+    for text in ("a [SEP] b", "[SEP][SEP]", "x[SEP", "no such token", "<|endoftext|>[SEP]"):
+        assert agree(coders, text), text
+
+
+@pytest.mark.parametrize("setting", [{"ignore_merges": True}, {"byte_fallback": True}, {"dropout": 0.5}, {"continuing_subword_prefix": "##"}])
+def test_settings_that_are_not_implemented_are_an_error(tmp_path, setting):
+    with pytest.raises(ValueError, match="aren't implemented"):
+        Encoder(changed_file(BYTE, tmp_path, lambda spec: spec["model"].update(setting)))
+    with pytest.raises(ValueError, match="aren't implemented"):
+        Encoder(changed_file(WORD, tmp_path, lambda spec: spec.update(normalizer={"type": "NFKC"})))
+
+
 def test_remembered_is_bounded_and_right():
     made = Counter()
 
@@ -321,7 +349,53 @@ def test_attribution_rules(rule):
         assert attribution.attribute(np.array(spans), sections, rule) == owner(spans, sections, rule)
 
 
-def test_section_tokens(docs, pairs, nothing):
+def test_orc_stripes_indexes_and_filters(spark, tmp_path):
+    """A file of several stripes has a row index, and a Bloom filter that knows its ids and few others."""
+    path = f"file://{tmp_path}/striped"
+    df = spark.createDataFrame([(3 * k, " ".join(f"w{(k * j) % 977}" for j in range(60))) for k in range(6000)], "doc_id long, text string").coalesce(1)
+    orc.write_documents(df, path, BYTE, options={"orc.stripe.size": "200000", "orc.stripe.row.count": "2000"})
+    names = sorted(str(x) for x in tmp_path.glob("striped/*.orc"))
+    assert sum(pyarrow.orc.ORCFile(n).nstripes for n in names) >= 3
+    j, tested = spark._jvm, 0
+    for name in names:
+        conf = spark._jsc.hadoopConfiguration()
+        reader = j.org.apache.orc.OrcFile.createReader(j.org.apache.hadoop.fs.Path(name), j.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        column = reader.getSchema().findSubtype("doc_id").getId()
+        ids = pyarrow.orc.ORCFile(name).read(columns=["doc_id"]).column(0).to_pylist()
+        at = 0
+        for s in range(reader.getStripes().size()):
+            rows = reader.getStripes().get(s).getNumberOfRows()
+            wanted = spark.sparkContext._gateway.new_array(j.boolean, reader.getSchema().getMaximumId() + 1)
+            wanted[0] = wanted[column] = True
+            index = reader.rows().readRowIndex(s, None, wanted)
+            filters = index.getBloomFilterIndex()[column]
+            assert filters is not None and index.getRowGroupIndex()[column].getEntryCount() == -(-rows // 1000)
+            first = filters.getBloomFilter(0)
+            assert first.getNumHashFunctions() > 0 and first.getUtf8Bitset().size() > 0
+            assert ids[at : at + rows] == sorted(ids[at : at + rows])
+            at += rows
+            tested += 1
+    assert tested >= 3
+    some = orc.read_documents(spark, path, [3, 4, 9000])
+    assert sorted(r["doc_id"] for r in some.select("doc_id").collect()) == [3, 9000]
+
+
+def test_rows_of_one_id_are_split_over_files(spark, tmp_path):
+    path = f"file://{tmp_path}/one"
+    df = spark.createDataFrame([(7 if k % 3 else None, f"{k} text") for k in range(3000)], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        orc.write_documents(df, path, BYTE)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in spark.read.orc(path).groupBy("shard").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 2000
+    out = orc.digest_files(spark, path).orderBy("start").collect()
+    assert [r["start"] for r in out[1:]] == [r["start"] + r["n_tokens"] for r in out[:-1]] and [r["doc_id"] for r in out] == [None] * 1000 + [7] * 2000
+
+
+def test_section_tokens(spark, docs, pairs, nothing):
     library = Encoder(BYTE).library
     got = {(r["doc_id"], tuple(r["section_tokens"])): r for r in attribution.section_tokens(docs, BYTE).collect()}
     for d, t in pairs:
@@ -334,6 +408,11 @@ def test_section_tokens(docs, pairs, nothing):
     r = attribution.section_tokens(own, BYTE, "own", "start").first()
     assert sum(r["section_tokens"]) + r["n_outside"] == r["n_tokens"] and r["n_sections"] == 2
     assert attribution.section_tokens(nothing, BYTE).count() == 0
+    several = spark.createDataFrame([(1, "one two three", [(0, 3), (None, 2), (4, 90)]), (2, "four five", [None, (5, 9)]), (3, "six", None), (4, None, [(0, 0)])], "doc_id long, text string, own array<struct<start:int,end:int>>").coalesce(1)
+    rows_ = {r["doc_id"]: r for r in attribution.section_tokens(several, BYTE, "own").collect()}
+    assert [(rows_[k]["section_tokens"], rows_[k]["n_outside"]) for k in (1, 2, 3, 4)] == [([1, 0, 2], 0), ([0, 1], 1), ([], 1), ([0], 0)]
+    with pytest.raises(Exception, match="sorted"):
+        attribution.section_tokens(spark.createDataFrame([(1, "one two", [(4, 7), (0, 3)])], several.schema), BYTE, "own").collect()
     with pytest.raises(ValueError):
         attribution.section_tokens(docs, BYTE, rule="loudest")
     with pytest.raises(ValueError):
@@ -350,3 +429,49 @@ def test_written_tables_can_be_cleaned(spark):
     assert os.path.exists(file) and written.count() == 5
     clean(spark)
     assert not os.path.exists(file)
+
+
+# --- columns of any name, SQL --------------------------------------------------------------------------
+
+CLASHES = ["_k1", "_k2", "_drop", "_n", "_spans", "_size", "_gone", "_extra", "_id", "_text", "_root", "_node", "_stay", "_host", "_rejected", "_pos", "_h1", "_h2", "_first", "_fp", "_f1", "_f2", "_print", "_wanted", "_anchor", "c0", "c1", "_0", "_1", "n_words", "base_failed", "component_id", "DOC_ID", "Text", "start", "count"]
+
+
+@pytest.mark.parametrize("stage", [quality.keep_good, lines.drop_repeated_lines, simhash.drop_near_duplicates, longprints.drop_similar, substrings.drop_repeats], ids=lambda f: f.__name__)
+def test_stages_keep_columns_of_any_name(spark, docs, stage):
+    """Columns called like any of ours come through as they are; without rows there are none."""
+    plain = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    wide = plain.select("*", *(F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in CLASHES))
+    expected = {r["doc_id"]: tuple(r) for r in stage(plain).collect()}
+    out = stage(wide)
+    assert out.columns == wide.columns and out.schema == wide.schema
+    got = [tuple(r) for r in out.collect()]
+    assert {r[0]: r[:5] for r in got} == expected and len(got) == len(expected)
+    assert all(r[5 + k] == f"{c} {r[0]}" for r in got for k, c in enumerate(CLASHES))
+    assert stage(wide.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Texts of several MB beside short ones, in every stage."""
+    rng = random.Random(8)
+    long = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) + ("\n" if rng.random() < 0.05 else "") for _ in range(400_000))
+    df = spark.createDataFrame([(1, long), (2, "z" * 3_000_000), (3, "short text"), (4, long[:1_000_000] + " other end")], "doc_id long, text string").withColumn("source", F.lit("s")).coalesce(1)
+    assert [r["doc_id"] for r in longprints.drop_similar(df).orderBy("doc_id").collect()] == [1, 2, 3, 4]
+    out = {r["doc_id"]: r["n_removed"] for r in substrings.digest_repeats(df).collect()}
+    assert out == {1: 1_000_000, 2: 3_000_000, 3: 0, 4: 1_000_000}
+    assert {r["doc_id"]: r["n_words"] for r in quality.measures(df).collect()}[1] == 400_000
+    coder = Encoder(BYTE)
+    counts = {r["doc_id"]: r for r in attribution.section_tokens(df.where("doc_id <> 2"), BYTE).collect()}
+    assert counts[1]["n_tokens"] == len(coder.ids(long)) // 4 == sum(counts[1]["section_tokens"]) and counts[1]["n_sections"] == long.count("\n") + 1
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_against_sql(spark, data, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    expected = c.sql(registry.oracle_sql()[name])
+    got = registry.queries()[name](spark, data)
+    assert sorted(got.columns) == sorted(expected.columns)
+    assert same(map(tuple, got.select(*expected.columns).collect()), expected.fetchall())
