@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -157,3 +158,136 @@ def test_sides_of_one_letter(spark):
     spark.range(2, 6).createOrReplaceTempView("same_other")
     for right, n in (("same_other", 2), ("same_letter", 4)):
         assert compile_plan(spark, ir.join("l.id = r.id", ir.scan("same_letter"), ir.scan(right))).count() == n
+
+
+# --- random plans against plain loops ---------------------------------------------------------------
+
+
+def random_plan(rng, deep=6):
+    below = lambda: random_plan(rng, deep - 1)
+    kind = rng.choice(["scan", "filter", "project", "join", "aggregate", "exchange", "exchange", "exchange"]) if deep else "scan"
+    if kind == "scan":
+        return ir.scan(rng.choice(["a", "b", "c"]))
+    if kind == "filter":
+        return ir.filter_("k > 0", below())
+    if kind == "project":
+        return ir.project(["k"], below())
+    if kind == "join":
+        return ir.join("l.k = r.k", below(), below())
+    if kind == "aggregate":
+        return ir.aggregate(rng.choice(["Partial", "Final"]), ["k"], below())
+    return ir.exchange(rng.choice([{"Hash": ["k"]}, "RoundRobin", "Broadcast", "Coalesce"]), below())
+
+
+def plain_fragments(plan, parts, splits):
+    """(operators, [(input, partitioned)], output, buckets, tasks) of each fragment."""
+    out = []
+
+    def go(node, operators, inputs, tables):
+        if node.kind == "Exchange":
+            close(node.inputs[0], node.exchange()[0])
+            inputs.append((len(out) - 1, out[-1][2] in ("Hash", "RoundRobin")))
+            return
+        operators.append(node.kind)
+        tables += [node.fields["table"]] if node.kind == "Scan" else []
+        for child in node.inputs:
+            go(child, operators, inputs, tables)
+
+    def close(top, output):
+        operators, inputs, tables = [], [], []
+        go(top, operators, inputs, tables)
+        tasks_ = parts if any(p for _, p in inputs) else max([splits.get(t, 1) for t in tables], default=1)
+        out.append((operators, inputs, output, parts if output in ("Hash", "RoundRobin") else 1, tasks_))
+
+    close(plan, None)
+    return out
+
+
+@pytest.fixture(scope="module")
+def some_plans(spark):
+    rng = random.Random(17)
+    plans = {f"q-{k}": random_plan(rng) for k in range(25)}
+    splits = {"a": 3, "b": 2}
+    plain = {q: plain_fragments(p, 4, splits) for q, p in plans.items()}
+    frames = [fr.fragments_frame(spark, p, 4, splits, query_id=q) for q, p in plans.items()]
+    rows = [tuple(r) for f in frames for r in f.collect()]
+    return plain, spark.createDataFrame(rows, fr.SCHEMA).cache()
+
+
+def test_random_plans_fragments_tasks_and_edges(some_plans):
+    plain, frame = some_plans
+    names = {"Hash": "hash", "RoundRobin": "round_robin", "Broadcast": "broadcast", "Coalesce": "coalesce", None: None}
+    got = {(r["query_id"], r["fragment_id"]): (r["operators"], [tuple(i) for i in r["inputs"]], r["output"], r["output_partitions"], r["tasks"]) for r in frame.collect()}
+    assert got == {(q, i): (*f[:2], names[f[2]], *f[3:]) for q, own in plain.items() for i, f in enumerate(own)}
+    assert {tuple(r) for r in fr.output_buckets(frame).collect()} == {(q, i, f[3]) for q, own in plain.items() for i, f in enumerate(own)}
+    assert {tuple(r)[:3] for r in tasks.tasks(frame).collect()} == {(q, i, p) for q, own in plain.items() for i, f in enumerate(own) for p in range(f[4])}
+    edges = [(q, i, p, j, k, p if part else 0) for q, own in plain.items() for i, f in enumerate(own) for p in range(f[4]) for j, part in f[1] for k in range(own[j][4])]
+    assert len(edges) > 400 and sorted(tuple(r) for r in tasks.edges(frame).collect()) == sorted(edges)
+
+
+def test_random_plans_ready_and_dispatchable(spark, some_plans):
+    plain, frame = some_plans
+    rng = random.Random(4)
+    phases = {}
+    for q, own in plain.items():
+        likely = rng.choice([0.5, 0.9, 1.0])
+        broken = rng.random() < 0.2
+        for i, f in enumerate(own):
+            for p in range(f[4]):
+                phases[q, i, p] = "DONE" if rng.random() < likely * (i < len(own) * 0.7) else rng.choice(["PENDING", "PENDING", "DISPATCHED"] + ["FAILED", "CANCELLED"] * broken)
+    complete = {(q, i) for q, own in plain.items() for i, f in enumerate(own) if all(phases[q, i, p] == "DONE" for p in range(f[4]))}
+    ready = {(q, i, p) for q, own in plain.items() for i, f in enumerate(own) for p in range(f[4]) if phases[q, i, p] != "DONE" and all((q, j) in complete for j, _ in f[1])}
+    dead = {k[0] for k, v in phases.items() if v in ("FAILED", "CANCELLED")}
+    rows = spark.createDataFrame([(*k, v, f"w-{k[2]}" if v == "DONE" else None) for k, v in phases.items()], "query_id string, fragment_id int, partition int, phase string, worker_id string")
+    assert {tuple(r) for r in tasks.ready_tasks(frame, rows.where("phase = 'DONE'")).collect()} == ready
+    assert {tuple(r) for r in tasks.dispatchable(frame, rows).collect()} == {k for k in ready if phases[k] == "PENDING" and k[0] not in dead}
+    done = {(q, i) for q, own in plain.items() for i in range(len(own)) if rng.random() < 0.6}
+    got = fr.ready_frame(frame, spark.createDataFrame(sorted(done), "query_id string, fragment_id int"))
+    assert {tuple(r) for r in got.collect()} == {(q, i) for q, own in plain.items() for i, f in enumerate(own) if (q, i) not in done and all((q, j) in done for j, _ in f[1])}
+    located = {tuple(r) for r in tasks.task_inputs(frame, rows.where("phase = 'DONE'").drop("phase")).collect()}
+    expected = {(q, i, p, j, k, p if part else 0, f"w-{k}") for q, own in plain.items() for i, f in enumerate(own) for p in range(f[4]) for j, part in f[1] for k in range(own[j][4]) if all((q, x) in complete for x, _ in f[1])}
+    assert expected and located == expected
+
+
+def first_error(rows):
+    """The needle of the first rule that a description (id, tasks, buckets, has a plan, inputs) breaks, by the order of the rules."""
+    if not rows:
+        return "no fragments"
+    for at, (own, n, buckets, has_plan, inputs) in enumerate(rows):
+        if own != at:
+            return "has id"
+        if n == 0:
+            return "no tasks"
+        if buckets == 0:
+            return "zero output partitions"
+        if not has_plan:
+            return "empty plan"
+        for i, part in inputs:
+            if i >= at or i < 0:
+                return "does not precede"
+            if part and rows[i][2] != n:
+                return "buckets, which"
+            if not part and rows[i][2] != 1:
+                return "reads only bucket 0"
+    return "root fragment" if rows[-1][2] != 1 else None
+
+
+def test_random_descriptions_by_the_rules(spark):
+    rng, made = random.Random(6), {}
+    for k in range(150):
+        rows = []
+        for at in range(rng.randint(0, 5)):
+            inputs = [(rng.randint(0, max(0, at - 1)) if at and rng.random() < 0.95 else at, rng.random() < 0.6) for _ in range(rng.choice([0, 1, 1, 2]) if at else 0)]
+            n = next((rows[i][2] for i, p in inputs if p and i < at), rng.randint(1, 2)) if rng.random() < 0.9 else rng.randint(0, 3)
+            inputs = [(i, rows[i][2] != 1 if i < at and rng.random() < 0.9 else p) for i, p in inputs]
+            rows.append((at if rng.random() < 0.97 else at + 1, n, rng.choice([1, 1, 2]) if rng.random() < 0.97 else 0, rng.random() < 0.97, inputs))
+        if rows and rng.random() < 0.8:
+            rows[-1] = (*rows[-1][:2], 1, *rows[-1][3:])
+        made[f"q-{k}"] = rows
+    schema = "query_id string, position int, fragment_id int, tasks int, output_partitions int, has_plan boolean, inputs array<struct<fragment_id:int,partitioned:boolean>>"
+    data = [(q, at, *r) for q, rows in made.items() for at, r in enumerate(rows)] + [(q, None, None, None, None, None, []) for q, rows in made.items() if not rows]
+    got = {r["query_id"]: r["error"] for r in tasks.validate(spark.createDataFrame(data, schema)).collect()}
+    wanted = {q: first_error(rows) for q, rows in made.items()}
+    assert len(set(wanted.values())) >= 7
+    for q, needle in wanted.items():
+        assert (got[q] is None) if needle is None else (needle in (got[q] or "")), (q, made[q], needle, got[q])
