@@ -339,9 +339,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, hot: int = HOT, pr
 
     n_links counts the other rows whose cosine is `threshold` or more; component_id is the least
     vec_id that links reach, itself included; kept says that it is the row's own. A vector that
-    is null, empty or zero, or holds a null or non-finite component, or isn't of the dimension
-    that most have (the larger of equals), links with nothing. Repeated rows link with each
-    other; a null vec_id is never the least. Other columns are ignored.
+    is null, empty or zero, or holds a null or non-finite component, links with nothing; vectors of
+    different dimensions don't link, and each dimension (a table has few) is indexed on its own. Repeated rows
+    link with each other; a null vec_id is never the least. Other columns are ignored.
     """
     element = vectors.schema["embedding"].dataType.elementType.typeName()
     number, kind = ("float", "<f4") if element == "float" else ("double", "<f8")
@@ -349,14 +349,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, hot: int = HOT, pr
     rows = vectors.select("vec_id", F.col("embedding").cast(f"array<{number}>").alias("_e"))
     fine = F.col("_e").isNotNull() & (F.size("_e") > 0) & F.forall("_e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < big)) & F.exists("_e", lambda v: v != 0)
     rows = rows.withColumn("_fine", F.coalesce(fine, F.lit(False)))
-    common = rows.where("_fine").groupBy(F.size("_e").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    dim = common["d"] if common else 0
-    rows = rows.withColumn("_fine", F.col("_fine") & (F.size("_e") == dim))
-    keyed = rows.select("vec_id", "_e", "_fine", *row_key("_e"))
-    classes = keyed.where("_fine").groupBy("_k1", "_k2").agg(F.min("vec_id").alias("_least"), F.count("*").alias("_n"), F.any_value("_e").alias("_e"))
-    if dim < 2:  # no halves
-        return _alone(rows) if not dim else _line(rows)
+    out = _alone(rows.where("not _fine"))
+    for (dim,) in rows.where("_fine").select(F.size("_e").alias("d")).distinct().orderBy("d").collect():
+        own = rows.where("_fine").where(F.size("_e") == dim)
+        out = out.unionByName(_line(own) if dim == 1 else _of_dimension(own, dim, kind, threshold, hot, probes))
+    return out
 
+
+def _of_dimension(rows: DataFrame, dim: int, kind: str, threshold: float, hot: int, probes: int) -> DataFrame:
+    """near_vectors of rows (vec_id, _e) that are all of one dimension, two at least, and fine."""
+    keyed = rows.select("vec_id", "_e", *row_key("_e"))
+    classes = keyed.groupBy("_k1", "_k2").agg(F.min("vec_id").alias("_least"), F.count("*").alias("_n"), F.any_value("_e").alias("_e"))
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = b.column("_e").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(b.num_rows, dim)
@@ -369,8 +372,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, hot: int = HOT, pr
     rooted = materialize(own.select("_node", "_k1", "_k2", "_least", "_n").join(checked(roots), own["_node"] == roots["node"], "left").join(checked(counts), "_node", "left").select("_k1", "_k2", "_least", "_n", F.coalesce("root", "_node").alias("_root"), F.coalesce("_links", F.lit(0)).alias("_links")), "vectors-rooted")
     least = materialize(rooted.groupBy("_root").agg(F.min("_least").alias("_id")), "vectors-least")
     named = materialize(rooted.join(checked(least), "_root").select("_k1", "_k2", "_id", (F.col("_links") + F.col("_n") - 1).alias("_links")), "vectors-named")
-    joined = keyed.select("vec_id", "_fine", "_k1", "_k2").join(checked(named), ["_k1", "_k2"], "left")
-    out = joined.select("vec_id", F.when(F.col("_fine"), F.col("_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(F.col("_fine"), F.col("_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    out = keyed.select("vec_id", "_k1", "_k2").join(checked(named), ["_k1", "_k2"]).select("vec_id", F.col("_links").cast("long").alias("n_links"), F.col("_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
@@ -380,7 +382,7 @@ def _alone(rows: DataFrame) -> DataFrame:
 
 def _line(rows: DataFrame) -> DataFrame:
     """One dimension: all of a sign point the same way."""
-    sides = rows.where("_fine").groupBy((F.col("_e")[0] > 0).alias("_up")).agg(F.count("*").alias("_all"), F.min("vec_id").alias("_id"))
-    both = rows.withColumn("_up", F.when(F.col("_fine"), F.col("_e")[0] > 0)).join(F.broadcast(sides), "_up", "left")
-    out = both.select("vec_id", F.coalesce(F.col("_all") - 1, F.lit(0)).alias("n_links"), F.when(F.col("_fine"), F.col("_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    sides = rows.groupBy((F.col("_e")[0] > 0).alias("_up")).agg(F.count("*").alias("_all"), F.min("vec_id").alias("_id"))
+    both = rows.withColumn("_up", F.col("_e")[0] > 0).join(F.broadcast(sides), "_up")
+    out = both.select("vec_id", (F.col("_all") - 1).alias("n_links"), F.col("_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

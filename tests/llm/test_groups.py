@@ -261,6 +261,15 @@ def test_vectors_of_nothing(spark):
     assert same(map(tuple, multiindex.near_vectors(line).collect()), [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)])
 
 
+def test_vectors_of_several_dimensions(spark):
+    """Each dimension links on its own, the rare ones too."""
+    data = [(k, [1.0, 0.1 * (k % 3), 0.0]) for k in range(20)] + [(30, [1.0, 2.0]), (31, [2.0, 4.0]), (32, [1.0, -2.0]), (40, [5.0]), (41, [7.0]), (42, [-7.0]), (50, None)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in multiindex.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[k] == (19, 0, k == 0) for k in range(20))
+    assert (got[30], got[31], got[32]) == ((1, 30, True), (1, 30, False), (0, 32, True))
+    assert (got[40], got[41], got[42], got[50]) == ((1, 40, True), (1, 40, False), (0, 42, True), (0, 50, True))
+
+
 def test_cells_come_in_order():
     """The traversal gives the nearest cells of the whole grid, nearest first."""
     rng = np.random.default_rng(8)
