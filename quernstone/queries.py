@@ -394,11 +394,11 @@ def query_state_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scheduling.query_states(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("query_id"), F.col("event_id").alias("seq"), state.alias("state")))
 
 
-# The events table as a log of tasks: a query per user, six tasks each; some events are those of whole workers.
+# The events table as a log of tasks: a query per user, six tasks each; every 97th event is the loss of a worker.
 _TASK_LOG = """SELECT CAST(user_id AS VARCHAR) AS query_id, CAST(event_id % 3 AS INTEGER) AS fragment_id, CAST(event_id % 2 AS INTEGER) AS "partition", event_id AS seq,
 CASE event_id % 13 WHEN 0 THEN 'FAILURE' WHEN 1 THEN 'SUCCESS' WHEN 2 THEN 'REVERT' WHEN 3 THEN 'REQUEUE' WHEN 4 THEN 'CANCEL' WHEN 5 THEN 'SUCCESS' ELSE 'DISPATCH' END AS event,
-CASE WHEN event_id % 13 > 5 THEN 'w-' || CAST(event_id % 4 AS VARCHAR) END AS worker_id, CASE event_id % 13 WHEN 0 THEN 'message ' || CAST(event_id AS VARCHAR) END AS message FROM events WHERE event_type <> 'error'"""
-_LOST = "SELECT 'w-' || CAST(event_id % 4 AS VARCHAR) AS worker_id, event_id AS seq FROM events WHERE event_type = 'error'"
+CASE WHEN event_id % 13 > 5 THEN 'w-' || CAST(event_id % 4 AS VARCHAR) END AS worker_id, CASE event_id % 13 WHEN 0 THEN 'message ' || CAST(event_id AS VARCHAR) END AS message FROM events WHERE event_id % 97 <> 0"""
+_LOST = "SELECT 'w-' || CAST(event_id % 4 AS VARCHAR) AS worker_id, event_id AS seq FROM events WHERE event_id % 97 = 0"
 _LOG_PHASES = f"""WITH RECURSIVE own AS ({_TASK_LOG}), lost AS ({_LOST}), sent AS (SELECT DISTINCT query_id, fragment_id, "partition", worker_id FROM own WHERE event = 'DISPATCH'),
 every AS (SELECT * FROM own UNION ALL SELECT s.query_id, s.fragment_id, s."partition", l.seq, 'LOST', s.worker_id, NULL FROM sent s JOIN lost l USING (worker_id)),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id, fragment_id, "partition" ORDER BY seq) AS k FROM every),
@@ -416,7 +416,7 @@ def _log_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, k = table(spark, sf_dir, "events"), F.col("event_id") % 13
     event = F.when(k == 0, "FAILURE").when(k.isin(1, 5), "SUCCESS").when(k == 2, "REVERT").when(k == 3, "REQUEUE").when(k == 4, "CANCEL").otherwise("DISPATCH")
     worker = F.concat(F.lit("w-"), (F.col("event_id") % 4).cast("string"))
-    own = events.where("event_type <> 'error'").select(
+    own = events.where("event_id % 97 <> 0").select(
         F.col("user_id").cast("string").alias("query_id"),
         (F.col("event_id") % 3).cast("int").alias("fragment_id"),
         (F.col("event_id") % 2).cast("int").alias("partition"),
@@ -425,7 +425,7 @@ def _log_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k > 5, worker).alias("worker_id"),
         F.when(k == 0, F.concat(F.lit("message "), F.col("event_id").cast("string"))).alias("message"),
     )
-    lost = events.where("event_type = 'error'").select(worker.alias("worker_id"), F.col("event_id").alias("seq"))
+    lost = events.where("event_id % 97 = 0").select(worker.alias("worker_id"), F.col("event_id").alias("seq"))
     return scheduling.task_phases(scheduling.with_lost_workers(own, lost))
 
 
