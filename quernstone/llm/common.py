@@ -62,11 +62,23 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Spark's own setting: a query's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Writes `df` once as Parquet in the shared folder and reads it back: lineage ends at files that outlive executors."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes `df` once as Parquet in the shared folder and reads it back: lineage ends at files that outlive executors.
+
+    Nothing reads the shuffles of the writing query again, so Spark deletes their files when it has ended.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_key(*names: str) -> list[Column]:
@@ -111,11 +123,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def discard(written: DataFrame) -> None:
-    """Deletes the files of a materialized table that nothing reads any more. The JVM is asked for its garbage, as Spark's cleaner does now and then: shuffle files go when their plans are collected."""
-    spark = written.sparkSession
+    """Deletes the files of a materialized table that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
-        _delete(spark, path)
-    spark._jvm.System.gc()
+        _delete(written.sparkSession, path)
 
 
 def retexted(docs: DataFrame, extra: DataFrame, column: str, fn: Callable[[bytes, object], bytes]) -> DataFrame:
