@@ -6,8 +6,9 @@ become one context, its text long enough for all of them. Anchors of one context
 need no look at texts, unless the anchor comes twice in it: all its windows repeat, or
 none. For the others, the distinct contexts are cut from the texts and their windows compared by suffix arrays (suffixes.py).
 An anchor with more than HOT distinct contexts isn't held by a task: its windows are dealt
-out anew, in blocks with what they have in common, and hashes (128 bits) of blocks and at
-last of windows are counted, combined before the shuffle. Spans go back to the texts.
+out anew, in blocks by what they have in common, and the blocks' distinct texts compared by suffix
+arrays in turn. What more than HOT distinct texts of blocks have in common is all but
+a few bytes of a window; their windows are dealt out one by one, and equal ones meet. Spans go back to the texts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .suffixes import repeated_windows
 
 #: Windows of one context, at most.
 RUN = 256
-#: Distinct contexts of an anchor that one task holds (under 500 bytes each).
+#: Distinct contexts of an anchor, and distinct texts of blocks of one core, that one task holds (under 500 bytes each).
 HOT = 1_000
 #: Windows of a block of a hot anchor's context.
 BLOCK = 8
@@ -184,14 +185,13 @@ def _blocks(length: int):
 
     A window's distance to its anchor's first place in it is the same in equal windows, so windows
     of one context are cut into blocks by that distance, BLOCK at a time. What all windows of
-    a block have in common (_b1, _b2) deals the blocks out anew; _sub tells blocks of one text apart.
+    a block have in common (_core) deals the blocks out anew; _sub tells blocks of one core apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        digest, short = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
-        size = anchor_size(length)
+        digest, size = xxhash.xxh3_64_intdigest, anchor_size(length)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
@@ -203,44 +203,65 @@ def _blocks(length: int):
                     place = places[np.searchsorted(places, start)]
                     level = (place - start) // BLOCK
                     cuts = np.flatnonzero(np.diff(place) | np.diff(level)) + 1
-                    windows = [digest(raw[s : s + length]) for s in range(n)]
                     for first, end in zip([0, *cuts.tolist()], [*cuts.tolist(), n], strict=True):
                         top = int(place[first] - level[first] * BLOCK)  # the last window that the block can have
                         core = digest(b"%d %d " % (anchor, level[first]) + raw[top : top + length - BLOCK + 1])
-                        own = b"".join(windows[first:end])
-                        two = np.frombuffer(own, "<i8").reshape(-1, 2)
-                        rows.append((anchor, context, *np.frombuffer(core, "<i8").tolist(), short(own) - (1 << 63), first, two[:, 0].tolist(), two[:, 1].tolist()))
+                        own = raw[first : end + length - 1]
+                        rows.append((anchor, context, core - (1 << 63), digest(own) - (1 << 63), first, end - first, own))
                 if rows:
-                    kinds = [pa.int64()] * 5 + [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["_anchor", "_context", "_b1", "_b2", "_sub", "_from", "_w1", "_w2"])
+                    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["_anchor", "_context", "_core", "_sub", "_from", "_count", "_bytes"])
 
     return run
 
 
-def _hot_windows(contexts_: DataFrame, length: int) -> DataFrame:
-    """Rows (_anchor, _context, _runs) of the repeated windows of hot anchors' distinct contexts.
+def _windows(length: int):
+    """Each window of the blocks' texts by itself: its block, its start there and 128 bits of hash."""
 
-    Blocks go the way of contexts: alone with what they have in common, they have no repeated
-    window; all of one text, they repeat as a whole; only where texts differ are windows counted
-    one by one, once for each different text.
-    """
-    key = ["_b1", "_b2"]
-    blocks = materialize(arrow_map(contexts_, _blocks(length), "_anchor long, _context long, _b1 long, _b2 long, _sub long, _from int, _w1 array<long>, _w2 array<long>"), "substring-blocks")
-    cores = materialize(blocks.groupBy(*key).agg(F.count("*").alias("_n"), F.min("_sub").alias("_s1"), F.max("_sub").alias("_s2")).where("_n > 1").select(*key, (F.col("_s1") < F.col("_s2")).alias("_differ")), "substring-cores")
-    shared = materialize(blocks.join(checked(cores), key), "substring-shared-blocks")
-    texts = materialize(shared.where("_differ").groupBy(*key, "_sub").agg(F.count("*").alias("_n"), F.any_value("_w1").alias("_w1"), F.any_value("_w2").alias("_w2")), "substring-block-texts")
-    windows = texts.select(*key, "_sub", "_n", F.posexplode(F.arrays_zip("_w1", "_w2")).alias("_at", "_w")).select(*key, "_sub", "_n", "_at", "_w._w1", "_w._w2")
-    often = materialize(windows.groupBy("_w1", "_w2").agg(F.sum("_n").alias("_n")).where("_n > 1").select("_w1", "_w2"), "substring-often")
-    hits = materialize(windows.join(checked(often), ["_w1", "_w2"]).groupBy(*key, "_sub").agg(F.collect_list("_at").alias("_hits")), "substring-hits")
-    entire = shared.where(~F.col("_differ")).select("_anchor", "_context", F.sequence(F.col("_from"), F.col("_from") + F.size("_w1") - 1).alias("_s"))
-    some = shared.where("_differ").join(hits, [*key, "_sub"]).select("_anchor", "_context", F.transform("_hits", lambda h: h + F.col("_from")).alias("_s"))
-    return arrow_map(entire.unionByName(some).groupBy("_anchor", "_context").agg(F.flatten(F.collect_list("_s")).alias("_starts")), _to_runs, "_anchor long, _context long, _runs array<int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
+        for batch in batches:
+            texts = batch.column("_bytes").to_pylist()
+            if texts:
+                counts = np.array([len(t) - length + 1 for t in texts])
+                of = pa.array(np.repeat(np.arange(len(texts)), counts))
+                at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                two = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t[s : s + length]) for t, n in zip(texts, counts.tolist(), strict=True) for s in range(n)), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column("_core").take(of), batch.column("_sub").take(of), pa.array(at.astype(np.int32)), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["_core", "_sub", "_at", "_w1", "_w2"])
+
+    return run
 
-def _to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        runs = [runs_of(np.unique(x)) for x in b.column("_starts").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("_anchor"), b.column("_context"), pa.array(runs, pa.list_(pa.int32()))], ["_anchor", "_context", "_runs"])
+
+def _hot_windows(contexts_: DataFrame, length: int, hot: int) -> DataFrame:
+    """Rows (_anchor, _context, _runs) of the repeated windows of hot anchors' distinct contexts.
+
+    Blocks go the way of contexts, with their cores as anchors: a core of one block has no repeated window, blocks of one
+    text repeat as a whole, and the distinct texts of a core are compared by suffix arrays. Only the windows of
+    cores with more than `hot` distinct texts are dealt out singly: a window is its own core then, and one that comes twice repeats.
+    """
+    blocks = materialize(arrow_map(contexts_, _blocks(length), "_anchor long, _context long, _core long, _sub long, _from int, _count int, _bytes binary"), "substring-blocks")
+    cores = materialize(blocks.groupBy("_core").agg(F.count("*").alias("_n"), F.min("_sub").alias("_s1"), F.max("_sub").alias("_s2")).where("_n > 1").select("_core", (F.col("_s1") < F.col("_s2")).alias("_differ")), "substring-cores")
+    shared = materialize(blocks.join(checked(cores), "_core"), "substring-shared-blocks")
+    discard(blocks)
+    texts = materialize(shared.where("_differ").groupBy("_core", "_sub").agg(F.count("*").alias("_n"), F.any_value("_bytes").alias("_bytes")), "substring-block-texts")
+    crowded = materialize(texts.groupBy("_core").agg(F.count("*").alias("_m")).where(F.col("_m") > hot).select("_core"), "substring-hot-cores")
+    some_hot = not crowded.isEmpty()
+    cold = texts.join(checked(crowded), "_core", "left_anti") if some_hot else texts
+    dealt = cold.select(F.col("_core").alias("_anchor"), F.col("_sub").alias("_context"), "_bytes").repartition("_anchor").sortWithinPartitions("_anchor")
+    found = materialize(arrow_map(dealt, _compared(length), "_anchor long, _context long, _runs array<int>"), "substring-found-blocks")
+    if some_hot:
+        windows = materialize(arrow_map(texts.join(checked(crowded), "_core", "left_semi").select("_core", "_sub", "_bytes"), _windows(length), "_core long, _sub long, _at int, _w1 long, _w2 long"), "substring-windows")
+        often = materialize(windows.groupBy("_w1", "_w2").agg(F.count("*").alias("_n")).where("_n > 1").select("_w1", "_w2"), "substring-often")
+        hits = windows.join(checked(often), ["_w1", "_w2"]).groupBy(F.col("_core").alias("_anchor"), F.col("_sub").alias("_context"))
+        found = found.unionByName(hits.agg(F.flatten(F.collect_list(F.array("_at", "_at"))).alias("_runs")))
+    # A text that occurs twice repeats as a whole.
+    whole = texts.where("_n > 1").select("_core", "_sub", F.lit(True).alias("_whole"))
+    verdicts = materialize(found.toDF("_core", "_sub", "_runs").join(whole, ["_core", "_sub"], "full"), "substring-block-verdicts")
+    entire = F.array(F.col("_from"), F.col("_from") + F.col("_count") - 1)
+    single = shared.where(~F.col("_differ")).select("_anchor", "_context", entire.alias("_r"))
+    others = shared.where("_differ").join(verdicts, ["_core", "_sub"]).select("_anchor", "_context", F.when(F.col("_whole"), entire).otherwise(F.transform("_runs", lambda r: r + F.col("_from"))).alias("_r"))
+    return single.unionByName(others).groupBy("_anchor", "_context").agg(F.flatten(F.collect_list("_r")).alias("_runs"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
@@ -267,7 +288,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     found = materialize(arrow_map(cold.repartition("_anchor").sortWithinPartitions("_anchor"), _compared(length), "_anchor long, _context long, _runs array<int>"), "substring-found")
     if some_hot:
         distinct_hot = texts.join(checked(crowded), "_anchor", "left_semi").dropDuplicates(["_anchor", "_context"])
-        found = found.unionByName(materialize(_hot_windows(distinct_hot, length), "substring-found-hot"))
+        found = found.unionByName(materialize(_hot_windows(distinct_hot, length, hot), "substring-found-hot"))
     # A context that occurs twice repeats as a whole.
     whole = distinct.where("_n > 1").select("_anchor", "_context", F.lit(True).alias("_whole"))
     verdicts = materialize(found.select("_anchor", "_context", "_runs").join(whole, ["_anchor", "_context"], "full"), "substring-verdicts")

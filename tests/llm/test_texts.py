@@ -244,6 +244,19 @@ def test_suffix_dedup(docs, pairs, length, hot):
     assert same(map(tuple, substrings.digest_repeats(docs, length, hot).collect()), expected)
 
 
+@pytest.mark.parametrize("hot", [1000, 20, 3])
+def test_suffix_dedup_of_many_ends_of_one_passage(spark, hot):
+    """Windows that have all but a few bytes in common: their blocks' cores are as hot as their anchors."""
+    rng = random.Random(4)
+    words = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage, ends = words(196), [words(6) for _ in range(30)]
+    pairs = [(k, words(rng.randint(0, 90)) + rng.choice(["", "x", "yz"]) + passage + rng.choice(ends) + words(rng.randint(0, 90))) for k in range(150)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    expected = [(*x[:4], hashlib.sha256(x[4]).hexdigest()) for x in without_repeats(pairs, 200)]
+    assert 0 < sum(x[2] > 0 for x in expected)
+    assert same(map(tuple, substrings.digest_repeats(df, 200, hot).collect()), expected)
+
+
 def test_suffix_dedup_of_texts(docs, pairs, nothing):
     out = substrings.drop_repeats(docs)
     assert out.schema == docs.schema and out.count() == len(pairs)
