@@ -121,9 +121,10 @@ class QueryManager:
                         own.error_message = str(wrong).splitlines()[0] if str(wrong) else type(wrong).__name__
                 self._to(own, FAILED)
             finally:
-                self.spark.sparkContext.removeJobTag(self._tag(own))
-                if own.state != SUCCEEDED:
-                    self._delete(own)
+                if self.spark.sparkContext._jsc is not None:  # else the session has been stopped under the query
+                    self.spark.sparkContext.removeJobTag(self._tag(own))
+                    if own.state != SUCCEEDED:
+                        self._delete(own)
 
     def _stop(self, own: Query) -> None:
         """Cancels the query's jobs until its thread has ended: one may begin after the first call."""
