@@ -263,6 +263,9 @@ def test_cancel_before_a_slot_is_free(spark):
     m.cancel(waiting)
     m.cancel(first)
     assert m.wait(waiting, 5) == "CANCELLED"
+    for q in (first, waiting):
+        m._queries[q].thread.join(30)
+        assert not m._queries[q].thread.is_alive()
 
 
 def test_arrow_chunks_are_whole_streams():
