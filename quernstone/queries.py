@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from .plans import fragments as fr
 from .plans import ir, scheduling, tasks
 from .plans.compile import compile_plan
 from .plans.inspect import cut_plan
+from .plans.store import ShuffleStore, run_fragments
 from .session import profiled, shared_folder
 from .streaming import ipc_round_trip
 
@@ -99,6 +101,27 @@ def plan_project_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compile_plan(spark, ir.loads(ir.dumps(PROJECT_PLAN)), tables, honor_exchanges=True)
 
 
+@query(FLAGSHIP, "fragments_join_agg_sort")
+def fragments_join_agg_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship's plan run task by task of its fragments, over stored buckets."""
+    tables = {t: table(spark, sf_dir, t) for t in ("orders", "customer")}
+    return run_fragments(spark, PLAN, tables).select(F.col("c_mktsegment").alias("segment"), "orders", money(F.col("revenue")).alias("revenue"))
+
+
+@query(ORACLES["plan_project_broadcast"], "fragments_project_broadcast")
+def fragments_project_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_fragments(spark, PROJECT_PLAN, {t: table(spark, sf_dir, t) for t in ("customer", "nation")})
+
+
+@query("SELECT o_orderkey, o_custkey, o_custkey % 5 AS bucket FROM orders")
+def bucket_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table put into seven buckets by a key and read back bucket by bucket; two of them are empty."""
+    store = ShuffleStore(spark)
+    store.put("q", 0, 0, table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.expr("pmod(o_custkey, 5)").cast("int"), 7)
+    parts = [store.get("q", 0, 0, b).withColumn("bucket", F.lit(b).cast("long")) for b in range(7)]
+    return reduce(DataFrame.union, parts)
+
+
 def _join_plan(how: str) -> ir.Node:
     rich = ir.filter_("c_acctbal > 0", ir.scan("customer"))
     return ir.join("c.c_nationkey = s.s_nationkey AND c.c_custkey % 7 = s.s_suppkey % 7", ir.exchange({"Hash": ["c_nationkey"]}, rich), ir.exchange({"Hash": ["s_nationkey"]}, ir.scan("supplier")), how)
