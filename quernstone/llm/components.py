@@ -3,11 +3,14 @@
 Alternating large-star and small-star rounds (Kiveris et al., "Connected Components in
 MapReduce and Beyond"): every round each node learns the least node near it and passes
 it on, until the links form stars. Minima are combined before the shuffle, so a node of
-many links is one row per task. A round's result is written to the shared folder.
+many links is one row per task. A round's result is written to the shared folder, by few
+tasks where links are few: each file that a task writes costs its executor processes.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from .common import materialize
 
 #: Minima of up to this many nodes (16 bytes each) are broadcast to their links; more are joined by a shuffle that splits hot nodes.
 BROADCAST_NODES = 250_000
+#: A round is written by TASKS tasks, or one for each TASK_LINKS links where that is more; never by more than there are partitions.
+TASKS, TASK_LINKS = 8, 50_000
 
 
 def checked(df: DataFrame, most: int = BROADCAST_NODES) -> DataFrame:
@@ -39,13 +44,13 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(20,0)"))).first()
         if mark == seen or not mark[0]:
             return now.select(F.col("x").alias("node"), F.col("y").alias("root"))
-        seen = mark
+        seen, tasks = mark, max(TASKS, math.ceil(mark[0] / TASK_LINKS))
         # Large star: what is above x is linked to the least node near x.
         both = now.unionByName(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = materialize(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m")), "links-least")
-        large = materialize(_star(both, least).where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct(), "links-large")
+        least = materialize(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m")).coalesce(tasks), "links-least")
+        large = materialize(_star(both, least).where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct().coalesce(tasks), "links-large")
         # Small star: x and what is below it are linked to the least node below x.
-        below = materialize(large.groupBy("x").agg(F.min("y").alias("m")), "links-below")
+        below = materialize(large.groupBy("x").agg(F.min("y").alias("m")).coalesce(tasks), "links-below")
         small = _star(large, below).where("y > m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        now = materialize(small.unionByName(below.select("x", F.col("m").alias("y"))).distinct(), "links")
+        now = materialize(small.unionByName(below.select("x", F.col("m").alias("y"))).distinct().coalesce(tasks), "links")
     raise RuntimeError(f"links don't settle in {rounds} rounds")

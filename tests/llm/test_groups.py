@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quernstone.llm import language, longprints, multiindex, packing, quality, registry, simhash
 from quernstone.llm.common import written
-from quernstone.llm.components import components
+from quernstone.llm.components import TASKS, components
 from quernstone.llm.tokens import public_tokenizer
 from tests.llm.corpus import frame, rows, same, words
 from tests.llm.test_texts import deduplicated, measured, without_repeats
@@ -60,6 +60,21 @@ def test_components(spark):
     assert components(df.limit(0), "a", "b").count() == 0
 
 
+def test_components_few_files(spark):
+    """Few links are written in few files, however many partitions there are."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        found = components(spark.range(2000).selectExpr("id AS a", "id - id % 10 AS b"), "a", "b")
+        assert same(map(tuple, found.collect()), [(x, x - x % 10) for x in range(2000) if x % 10])
+        assert len(found.inputFiles()) <= TASKS
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 # --- SimHash ----------------------------------------------------------------------------------------
 
 
