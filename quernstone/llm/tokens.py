@@ -1,11 +1,11 @@
 """Token ids of whole texts, exactly as the tokenizers library gives them, from tokenizer files of its JSON format.
 
-A language repeats its words, so a text is cut at white space, where these tokenizers
-cut as well, and each distinct word is encoded once per worker: cut into pieces by the
-tokenizer's own pattern, each piece merged by `merge`. Texts that hold characters
-outside SAFE, or space runs that a cut could change, go another way that asks the
-library, so no result depends on two Unicode tables agreeing. Words differ more than
-pieces (a word can end in a comma, or two lines meet in it), so both are remembered.
+A language repeats its words, so each distinct one is encoded once per worker. Where
+white space is dropped, a text is cut there, and a word into pieces by the tokenizer's own
+pattern, each piece merged by `merge`; words and pieces are remembered. Where spaces are part of
+pieces, a text is cut into pieces at once, and those alone are remembered: words between
+spaces differ more (one can end in a comma, or two lines meet in it). Texts that hold characters
+outside SAFE go another way that asks the library, so no result depends on two Unicode tables agreeing.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ SAFE = "\x00-\x1b\x20-įı-ɏ–—‘’“”…€"
 #: The two pre-tokenisation patterns that the fast path knows, as the tokenizer files state them.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words remembered per worker process, and a quarter as many pieces, in two generations; about 200 bytes each.
+#: What BYTES says of texts of SAFE characters alone, with their letters, numbers and spaces written out. A letter or number run can't start as a contraction does, so it may be tried first.
+_LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \\t\\n\\r\\x0b\\x0c\\x85\\xa0"
+SAFE_BYTES = rf" ?+[{_LETTERS}]++| ?+[{_NUMBERS}]++|'s|'t|'re|'ve|'m|'ll|'d| ?+[^{_SPACES}{_LETTERS}{_NUMBERS}]++|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+#: Words remembered per worker process, and a quarter as many pieces, in two generations; about 200 bytes each. Twice as many pieces where no words are.
 REMEMBERED = 500_000
 _SIGNS = tuple(".,;:!?")
-#: ASCII characters outside SAFE; and what a text holds if it has a space between spaces.
+#: ASCII characters outside SAFE.
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
-_PAIRS = tuple(f"{c} " for c in " \n\t\r\x0b\x0c\x85\xa0")
 
 
 class Remembered(dict):
@@ -90,20 +92,16 @@ class Encoder:
         self.model = self.library.model
         self.starts = sorted({s[0] for s in self.special})
         self.cut = regex.compile(WORDS if self.lower else BYTES).findall
-        self.unsafe, self.wide = re.compile(f"[^{SAFE}]").search, re.compile(r"\s \s").search
+        self.safe_cut, self.unsafe = re.compile(SAFE_BYTES).findall, re.compile(f"[^{SAFE}]").search
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.space = self.symbols[32]
         self.ascii = {b: c for b, c in enumerate(self.symbols[:128]) if chr(b) != c}
         self.words = Remembered(self.encode_word, remembered)
-        self.pieces = Remembered(lambda piece: self.value(piece, self.merge(piece)), remembered // 4)
+        self.pieces = Remembered(lambda piece: self.value(piece, self.merge(piece)), 2 * remembered if self.spaced else remembered // 4)
 
     def odd(self, text: str) -> bool:
-        """Whether the text can't be cut at its spaces: characters outside SAFE, or a space between spaces where those are part of pieces."""
-        if any(c in text for c in _CONTROLS) if text.isascii() else self.unsafe(text):
-            return True
-        if self.spaced:
-            return any(p in text for p in _PAIRS) and bool(self.wide(text))
-        return False
+        """Whether the text has characters outside SAFE."""
+        return any(c in text for c in _CONTROLS) if text.isascii() else bool(self.unsafe(text))
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece."""
@@ -122,16 +120,12 @@ class Encoder:
         return b"".join(values)
 
     def encode_word(self, word: str):
-        """The value of a new word. Letters alone are one piece, and a sign or line feed behind or between words is a piece of its own."""
+        """The value of a new word. Letters alone are one piece, and a sign behind them is a piece of its own."""
         if word.isalpha():
-            piece = " " + word if self.spaced else word
-            return self.value(piece, self.merge(piece))
+            return self.value(word, self.merge(word))
         if word[-1:] in _SIGNS and word[-2:-1].isalpha():
             return self.combine([self.words[word[:-1]], self.pieces[word[-1]]])
-        before, feed, after = word.partition("\n")
-        if feed and self.spaced and before and after and "\n" not in after and not before[-1].isspace() and not after[0].isspace():
-            return self.combine([self.words[before], self.pieces[feed], *(self.pieces[p] for p in self.cut(after))])
-        return self.combine([self.pieces[p] for p in self.cut(" " + word if self.spaced else word)])
+        return self.combine([self.pieces[p] for p in self.cut(word)])
 
     def through_library(self, text: str):
         """Value of a text without special tokens, cut by the library itself."""
@@ -145,11 +139,10 @@ class Encoder:
             return [self.through_library(text)]
         if self.lower:
             return list(map(self.words.__getitem__, text.lower().split()))
-        first, *rest = text.split(" ")
-        return [self.combine([self.pieces[p] for p in self.cut(first)]), *map(self.words.__getitem__, rest)]
+        return list(map(self.pieces.__getitem__, self.safe_cut(text)))
 
     def values(self, text: str) -> list:
-        """What is remembered of the text's words, in order. Special tokens are found in the text as it stands."""
+        """What is remembered of the text's words or pieces, in order. Special tokens are found in the text as it stands."""
         if not any(c in text for c in self.starts) or not self.at_special.search(text):
             return self.segment(text)
         out: list = []

@@ -105,6 +105,16 @@ def test_remembered_is_bounded_and_right():
     assert made[99] == 3
 
 
+def test_pieces_are_merged_once_whatever_stands_beside_them():
+    coder, made = Encoder(BYTE, remembered=200), Counter()
+    merge = coder.merge
+    coder.merge = lambda piece: made.update([piece]) or merge(piece)
+    stems = [a + b + "stone" for a in "abcdef" for b in "aeiouyklmn"]
+    text = " ".join(f"{a}{sign}\n{b}" for _ in range(2) for a in stems for b in stems[:10] for sign in ",.")
+    assert coder.ids(text) == le32(coder.library.encode(text, add_special_tokens=False).ids)
+    assert max(made.values()) == 1
+
+
 def test_bpe_encode_and_decode(spark, docs, pairs, nothing):
     library = Encoder(WORD).library
     expected = []
