@@ -6,6 +6,7 @@ import os
 import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -66,18 +67,30 @@ def _delete(spark: SparkSession, path: str) -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings of the session while the block runs; afterwards they are as before."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Writes `df` once as Parquet in the shared folder and reads it back: lineage ends at files that outlive executors.
 
     Nothing reads the shuffles of the writing query again, so Spark deletes their files when it has ended.
     """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with held(spark, {CLEANUP: "true"}):
         df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

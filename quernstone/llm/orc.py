@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh_path, materialize, slices, text_bytes
+from .common import arrow_map, fresh_path, held, materialize, slices, text_bytes
 from .components import checked
-from .tokens import Encoder, le32, loaded
+from .tokens import REMEMBERED, Encoder, le32, loaded
 
 #: The files' columns: shard is the file's place in the order of all, first the ids before the document in its file.
 FORMAT = "doc_id long, shard int, first long, ids array<int>"
@@ -30,6 +30,9 @@ OPTIONS = {
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(64 << 20),
 }
+#: Bytes that travel at once between Spark and a worker; one row at least. Both keep memory for what the largest needed.
+BATCH = 1 << 20
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH), "spark.sql.orc.columnarReaderBatchSize": "256"}
 
 
 def _encoded(tokenizer: str, end_id: int | None):
@@ -37,10 +40,10 @@ def _encoded(tokenizer: str, end_id: int | None):
         import numpy as np
         from pyspark import TaskContext
 
-        coder, shard, first = loaded(Encoder, tokenizer), TaskContext.get().partitionId(), 0
+        coder, shard, first = loaded(Encoder, tokenizer, REMEMBERED // 2), TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else le32([end_id])
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", BATCH):
                 ids = [coder.ids(t.decode()) + end for t in part.column(1).to_pylist()]
                 bounds = np.cumsum([0, *(len(x) // 4 for x in ids)])
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
@@ -64,7 +67,8 @@ def write_documents(docs: DataFrame, path: str, tokenizer: str, end_id: int | No
     rows = docs.select("doc_id", text_bytes())
     order = [F.col("doc_id"), F.substring("text", 1, 64).alias("_p"), F.xxhash64("text").alias("_h")]
     rows = rows.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
-    arrow_map(rows.select("doc_id", "text"), _encoded(tokenizer, end_id), FORMAT).write.options(**OPTIONS | (options or {})).orc(path)
+    with held(docs.sparkSession, SMALL_BATCHES):
+        arrow_map(rows.select("doc_id", "text"), _encoded(tokenizer, end_id), FORMAT).write.options(**OPTIONS | (options or {})).orc(path)
 
 
 def read_documents(spark: SparkSession, path: str, doc_ids: Iterable[int] | None = None) -> DataFrame:
@@ -89,7 +93,8 @@ def digest_files(spark: SparkSession, path: str) -> DataFrame:
 
     The files' totals, one row of twelve bytes a file, are added up on the driver.
     """
-    digests = materialize(arrow_map(read_documents(spark, path), _digested, "doc_id long, shard int, first long, n_tokens long, ids_crc32 long"), "orc-digests")
+    with held(spark, SMALL_BATCHES):
+        digests = materialize(arrow_map(read_documents(spark, path), _digested, "doc_id long, shard int, first long, n_tokens long, ids_crc32 long"), "orc-digests")
     totals = digests.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").toArrow()
     n = totals.column("n").to_numpy()
     base = spark.createDataFrame(pa.table({"shard": totals.column("shard"), "_base": pa.array(n.cumsum() - n, pa.int64())}))

@@ -161,11 +161,11 @@ class Encoder:
 _LOADED: dict[tuple, Encoder] = {}
 
 
-def loaded(kind: type[Encoder], path: str) -> Encoder:
-    """One encoder per worker process, kind and file, with what it remembers."""
-    if (kind, path) not in _LOADED:
-        _LOADED[kind, path] = kind(path)
-    return _LOADED[kind, path]
+def loaded(kind: type[Encoder], path: str, remembered: int = REMEMBERED) -> Encoder:
+    """One encoder per worker process, kind, file and bound, with what it remembers."""
+    if (kind, path, remembered) not in _LOADED:
+        _LOADED[kind, path, remembered] = kind(path, remembered=remembered)
+    return _LOADED[kind, path, remembered]
 
 
 def public_tokenizer(name: str) -> str:

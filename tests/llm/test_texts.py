@@ -11,9 +11,9 @@ import pyarrow.orc
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm import attribution, bpe, lines, longprints, orc, packing, quality, registry, simhash, substrings, suffixes
+from quernstone.llm import attribution, bpe, lines, longprints, orc, packing, quality, registry, simhash, substrings, suffixes, tokens
 from quernstone.llm.common import clean, materialize
-from quernstone.llm.tokens import Encoder, Remembered, le32, public_tokenizer
+from quernstone.llm.tokens import REMEMBERED, Encoder, Remembered, le32, public_tokenizer
 from tests.llm.corpus import frame, rows, same, words
 
 WORD, BYTE = public_tokenizer("word_bpe_49k.json"), public_tokenizer("byte_bpe_50k.json")
@@ -418,6 +418,39 @@ def test_rows_of_one_id_are_split_over_files(spark, tmp_path):
     assert [r["start"] for r in out[1:]] == [r["start"] + r["n_tokens"] for r in out[:-1]] and [r["doc_id"] for r in out] == [None] * 1000 + [7] * 2000
 
 
+def test_orc_batches_and_pieces_are_bounded(spark, tmp_path, monkeypatch):
+    """However many rows a partition has, workers get and give few bytes at a time, and remember half as many pieces as elsewhere."""
+
+    def watched(fn):
+        def run(batches):
+            def small(rows):
+                for b in rows:
+                    assert b.nbytes < 3 << 20
+                    yield b
+
+            return small(fn(small(batches)))
+
+        return run
+
+    def forgetful(fn):
+        def run(batches):
+            yield from fn(batches)
+            assert any(c.path == BYTE and c.pieces.most == REMEMBERED // 2 for c in tokens._LOADED.values())
+
+        return run
+
+    encoded, digested = orc._encoded, orc._digested
+    monkeypatch.setattr(orc, "_encoded", lambda *a: forgetful(watched(encoded(*a))))
+    monkeypatch.setattr(orc, "_digested", watched(digested))
+    text, path, names = "ab" * 2000, f"file://{tmp_path}/many", [*orc.SMALL_BATCHES]
+    before = [spark.conf.get(n, None) for n in names]
+    orc.write_documents(spark.range(8000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")), path, BYTE)
+    ids = le32([*Encoder(BYTE).library.encode(text, add_special_tokens=False).ids, 0])
+    found = orc.digest_files(spark, path).select("start", "n_tokens", "ids_crc32").orderBy("doc_id").collect()
+    assert list(map(tuple, found)) == [(k * len(ids) // 4, len(ids) // 4, zlib.crc32(ids)) for k in range(8000)]
+    assert [spark.conf.get(n, None) for n in names] == before
+
+
 def test_section_tokens(spark, docs, pairs, nothing):
     library = Encoder(BYTE).library
     got = {(r["doc_id"], tuple(r["section_tokens"])): r for r in attribution.section_tokens(docs, BYTE).collect()}
