@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["query_id", "fragment_id", "partition"]
+#: Losses of workers meet tasks by chunks of 2 ** CHUNK_BITS numbers of the log, so that a chunk holds no more of them than that. FIRST stands for no number.
+CHUNK_BITS, FIRST = 12, -(2**63)
 
 
 def query_states(events: DataFrame) -> DataFrame:
@@ -23,10 +25,24 @@ def query_states(events: DataFrame) -> DataFrame:
 
 
 def with_lost_workers(events: DataFrame, lost: DataFrame) -> DataFrame:
-    """The events of task_phases and, for each row of `lost` (worker_id, seq), a LOST event for every task that was ever sent to that worker. seq counts over all tasks."""
-    sent = events.where("event = 'DISPATCH'").select(*KEY, "worker_id").distinct()
-    gone = sent.join(lost.select("worker_id", "seq"), "worker_id").select(*KEY, "seq", F.lit("LOST").alias("event"), "worker_id", F.lit(None).cast("string").alias("message"))
-    return events.select(*KEY, "seq", "event", "worker_id", "message").unionByName(gone)
+    """The events of task_phases and, for each DISPATCH, one LOST event: the next row of `lost` (worker_id, seq) of its worker, if there is one. seq counts over all tasks, in whole numbers; a null one is before all.
+
+    A worker's later losses can't change what that DISPATCH began: the next one ends it, unless something else
+    did before. So there are fewer LOST events than others, however many workers are lost. The next loss is one of the DISPATCH's
+    own chunk of 2 ** CHUNK_BITS numbers, or the first of a later chunk; only a row per worker and chunk is ordered.
+    """
+    at, chunk = F.coalesce(F.col("seq").cast("long"), F.lit(FIRST)), F.shiftright("at", CHUNK_BITS)
+    sent = events.where("event = 'DISPATCH' and worker_id is not null").select(*KEY, "worker_id", at.alias("at")).withColumn("chunk", chunk)
+    gone = lost.select("worker_id", at.alias("at")).withColumn("chunk", chunk)
+    asked = sent.select("worker_id", "chunk").distinct().withColumn("at", F.lit(None).cast("long"))
+    chunks = asked.unionByName(gone).groupBy("worker_id", "chunk").agg(F.collect_set("at").alias("own"), F.min("at").alias("first"))
+    after = Window.partitionBy("worker_id").orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select("worker_id", "chunk", "own", F.min("first").over(after).alias("later")).where("size(own) > 0 or later is not null")
+    following = F.coalesce(F.array_min(F.filter("own", lambda x: x >= F.col("at"))), F.col("later"))
+    found = sent.join(chunks, ["worker_id", "chunk"]).select(*KEY, following.alias("seq"), "worker_id").where("seq is not null")
+    seq = F.when(F.col("seq") != FIRST, F.col("seq")).cast(lost.schema["seq"].dataType)
+    found = found.select(*KEY, seq.alias("seq"), F.lit("LOST").alias("event"), "worker_id", F.lit(None).cast("string").alias("message"))
+    return events.select(*KEY, "seq", "event", "worker_id", "message").unionByName(found)
 
 
 def task_phases(events: DataFrame) -> DataFrame:

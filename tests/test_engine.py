@@ -100,6 +100,66 @@ def test_query_states_against_a_machine(spark):
     assert {r[0]: r[1] for r in scheduling.query_states(events).collect()} == {q: replay(log) for q, log in logs.items()}
 
 
+def replay_tasks(log):
+    """(phase, worker, message, ended) by task after (seq, task or none, event, worker, message) in order; a loss takes back all that is out with that worker."""
+    now = {}
+    for seq, task, event, worker, message in log:
+        if event == "LOST":
+            now |= {t: ("PENDING", None, None, None) for t, s in now.items() if s[:2] == ("DISPATCHED", worker)}
+            continue
+        phase, held, *_ = own = now.setdefault(task, ("PENDING", None, None, None))
+        if phase == "PENDING":
+            now[task] = {"DISPATCH": ("DISPATCHED", worker, None, None), "CANCEL": ("CANCELLED", None, None, None)}.get(event, own)
+        elif phase == "DISPATCHED":
+            back = ("PENDING", None, None, None)
+            now[task] = {"REVERT": back, "REQUEUE": back, "SUCCESS": ("DONE", held, None, None), "FAILURE": ("FAILED", None, message, seq), "CANCEL": ("CANCELLED", None, None, None)}.get(event, own)
+    return now
+
+
+def lossy_log(rng, step):
+    """A random log of sixty tasks and four workers, its numbers `step` apart at most; a fifth are losses."""
+    seq, log = 0, []
+    for _ in range(1500):
+        seq += rng.randint(1, step)
+        event = rng.choices(["LOST", "DISPATCH", "REVERT", "REQUEUE", "SUCCESS", "FAILURE", "CANCEL"], [30, 90, 10, 10, 5, 3, 2])[0]
+        worker = f"w-{rng.randrange(4)}" if event in ("LOST", "DISPATCH") else None
+        log.append((seq, None if event == "LOST" else (f"q-{rng.randrange(10)}", rng.randrange(3), rng.randrange(2)), event, worker, f"message {seq}" if event == "FAILURE" else None))
+    return log
+
+
+TASK_EVENTS = "query_id string, fragment_id int, partition int, seq long, event string, worker_id string, message string"
+
+
+def split_log(spark, log):
+    own = spark.createDataFrame([(*task, seq, event, worker, message) for seq, task, event, worker, message in log if task], TASK_EVENTS)
+    return own, spark.createDataFrame([(worker, seq) for seq, task, _, worker, _ in log if not task], "worker_id string, seq long")
+
+
+@pytest.mark.parametrize("step", [1, 40, 10_000])
+def test_lost_workers_against_a_loop(spark, step):
+    """Also where a chunk of numbers holds the whole log, a part of it or one event."""
+    log = lossy_log(random.Random(step), step)
+    every = scheduling.with_lost_workers(*split_log(spark, log))
+    got = {(r["query_id"], r["fragment_id"], r["partition"]): (r["phase"], r["worker_id"], r["error_message"], r["ended"]) for r in scheduling.task_phases(every).collect()}
+    assert got == replay_tasks(log)
+
+
+def test_losses_are_not_dealt_to_every_task(spark):
+    """Each DISPATCH meets one loss at most: not as many as there are tasks times losses."""
+    own = spark.range(300).selectExpr("'q' query_id", "cast(id as int) fragment_id", "0 partition", "id seq", "'DISPATCH' event", "'w-0' worker_id", "cast(null as string) message")
+    lost = spark.range(100, 10_100).selectExpr("'w-0' worker_id", "id * 3 seq")
+    every = scheduling.with_lost_workers(own, lost)
+    assert every.where("event = 'LOST'").count() <= own.count()
+    assert scheduling.task_phases(every).where("phase = 'PENDING'").count() == 300
+
+
+def test_losses_without_a_number_or_a_worker(spark):
+    """A null number is before all others, and a DISPATCH before a LOST of the same number; a null worker is none."""
+    own = spark.createDataFrame([("q", 0, 0, None, "DISPATCH", "w-0", None), ("q", 1, 0, 5, "DISPATCH", "w-1", None), ("q", 2, 0, 1, "DISPATCH", None, None), ("q", 3, 0, 1, "DISPATCH", "w-0", None)], TASK_EVENTS)
+    lost = spark.createDataFrame([("w-0", None), ("w-1", 5), (None, 7)], "worker_id string, seq long")
+    assert {r["fragment_id"]: r["phase"] for r in scheduling.task_phases(scheduling.with_lost_workers(own, lost)).collect()} == {0: "PENDING", 1: "PENDING", 2: "DISPATCHED", 3: "DISPATCHED"}
+
+
 def test_assignments_against_a_loop(spark):
     rng = random.Random(3)
     for _ in range(3):
