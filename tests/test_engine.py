@@ -160,6 +160,24 @@ def test_losses_without_a_number_or_a_worker(spark):
     assert {r["fragment_id"]: r["phase"] for r in scheduling.task_phases(scheduling.with_lost_workers(own, lost)).collect()} == {0: "PENDING", 1: "PENDING", 2: "DISPATCHED", 3: "DISPATCHED"}
 
 
+def test_outcomes_of_a_log_with_lost_workers(spark, monkeypatch):
+    """The query's losses meet each DISPATCH once at most, and outcomes equal those of a plain loop."""
+    log = lossy_log(random.Random(9), 40)
+    expected = {}
+    for (q, *_), s in replay_tasks(log).items():
+        expected.setdefault(q, []).append(s)
+    for q, own in expected.items():
+        phases, failed = {s[0] for s in own}, sorted((s[3], s[2]) for s in own if s[0] == "FAILED")
+        state = next((p for p in ("FAILED", "CANCELLED") if p in phases), None) or ("SUCCEEDED" if phases == {"DONE"} else "RUNNING" if phases & {"DISPATCHED", "DONE"} else "QUEUED")
+        expected[q] = (state, failed[0][1] if failed else None)
+    phases = scheduling.task_phases(scheduling.with_lost_workers(*split_log(spark, log)))
+    assert {r["query_id"]: (r["state"], r["error_message"]) for r in scheduling.query_outcomes(phases).collect()} == expected
+    monkeypatch.setattr(scheduling, "task_phases", lambda events: events)
+    monkeypatch.setattr(scheduling, "query_outcomes", lambda events: events)
+    n = {r["event"]: r["count"] for r in queries.query_outcomes(spark, "/root/testdata/sf0.01").groupBy("event").count().collect()}
+    assert 0 < n["LOST"] <= n["DISPATCH"]
+
+
 def test_assignments_against_a_loop(spark):
     rng = random.Random(3)
     for _ in range(3):
