@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AlreadyFragmented, NotExecutable
 from ..functions import order_key
-from ..operators import broadcast_side, coalesce_exchange, hash_exchange, round_robin_exchange
+from ..operators import block_join, broadcast_side, coalesce_exchange, hash_exchange, round_robin_exchange
 from .ir import Node
 
 HOWS = {"inner", "left", "right", "full", "left_semi", "left_anti"}
@@ -52,7 +52,7 @@ class Compiler:
         if names[0] == names[1]:
             names = ["l", "r"]
         left, right = (self(n).alias(name) for n, name in zip(node.inputs, names, strict=True))
-        return self._checked(node, lambda: left.join(right, F.expr(node.fields["on"]), how))
+        return self._checked(node, lambda: block_join(left, right, names, node.fields["on"], how))
 
     def _alias(self, node: Node, default: str) -> str:
         """The name that the join condition uses for a side: its only table's first letter, as in o.cust_id = c.id; l and r where that doesn't tell the sides apart."""

@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.errors import AlreadyFragmented, InvalidArgument, NotExecutable
 from quernstone.plans import fragments as fr
@@ -160,6 +161,60 @@ def test_sides_of_one_letter(spark):
         assert compile_plan(spark, ir.join("l.id = r.id", ir.scan("same_letter"), ir.scan(right))).count() == n
 
 
+# --- joins whose keys meet many rows with many -----------------------------------------------------
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    from quernstone.operators import join
+
+    for name, n in {"BLOCK_ROWS": 7, "TASK_PAIRS": 200, "TASK_ROWS": 50, "MANY": 1}.items():
+        monkeypatch.setattr(join, name, n)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "left_semi", "left_anti"])
+@pytest.mark.parametrize("on", ["x.k = y.k", "x.k = y.k AND x.v % 3 = y.w % 3", "x.k = y.k AND x.v < y.w", "x.k <=> y.k", "x.k = y.k AND x.v > 1000", "x.k * -0.5D = y.k * -0.5D"])
+def test_joins_in_blocks_are_whole(spark, small_blocks, how, on):
+    """Null keys, keys of one side only, repeated rows, a column that both sides have, other conditions."""
+    x = spark.range(400).selectExpr("if(id % 9 = 0, null, id % 9) k", "id div 2 v")
+    y = spark.range(300).selectExpr("cast(if(id % 11 < 2, null, if(id % 11 < 7, 2, id % 11)) as int) k", "id div 3 w")
+    got = compile_plan(spark, ir.join(on, ir.scan("x"), ir.scan("y"), how), {"x": x, "y": y})
+    one = x.alias("x").join(y.alias("y"), F.expr(on), how)
+    assert got.columns == one.columns and [f.dataType for f in got.schema] == [f.dataType for f in one.schema]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, one.collect()), key=repr)
+
+
+def test_joins_in_blocks_behind_a_shuffle_and_of_one_table(spark, small_blocks):
+    """Both sides one table, one of them aggregated or joined before; names of sides still hold above the join."""
+    t = spark.range(300).selectExpr("id % 4 k", "id v")
+    grouped = ir.aggregate("Final", ["v", "k"], ir.aggregate("Partial", ["v", "k"], ir.scan("t"), [{"fn": "count_star", "as": "n"}]))
+    plan = ir.project(["l.v AS a", "r.v AS b", "n"], ir.join("l.k = r.k", grouped, ir.scan("t"), "left"))
+    got = compile_plan(spark, plan, {"t": t})
+    assert got.count() == got.distinct().count() == 300 * 75
+    nested = ir.join("l.k = t.k", ir.project(["l.k AS k", "r.v AS v"], ir.join("l.k = r.k", ir.scan("t"), ir.scan("t"))), ir.filter_("v < 8", ir.scan("t")))
+    assert compile_plan(spark, nested, {"t": t}).count() == 300 * 75 * 2
+
+
+@pytest.mark.parametrize("how", ["right", "full", "inner"])
+def test_pairs_of_a_key_are_dealt_out(spark, monkeypatch, how):
+    """One key, 90,000 pairs: no task gives a quarter of them. Equal rows as well."""
+    from quernstone.operators import join
+
+    for name, n in {"BLOCK_ROWS": 20, "TASK_PAIRS": 1000}.items():
+        monkeypatch.setattr(join, name, n, raising=False)
+    for value in ("id", "1L"):
+        tables = {n: spark.range(300).selectExpr("1 k", f"{value} v") for n in ("x", "y")}
+        got = compile_plan(spark, ir.join("x.k = y.k", ir.scan("x"), ir.scan("y"), how), tables)
+        parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(parts) == 90_000 and max(parts) < 22_500
+
+
+def test_joins_that_do_not_multiply_rows_stay_plain(spark, small_blocks):
+    tables = {"x": spark.range(1000).selectExpr("id k"), "y": spark.range(1000).selectExpr("id k", "id v")}
+    plan = compile_plan(spark, ir.join("x.k = y.k", ir.scan("x"), ir.scan("y")), tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
 # --- random plans against plain loops ---------------------------------------------------------------
 
 
