@@ -52,15 +52,15 @@ def block_join(left: DataFrame, right: DataFrame, names: list[str], on: str, how
         return plain
     if (pairs or 0) <= max(TASK_PAIRS, MANY * (rows or 0)):
         return plain
-    tasks = max(ceil(pairs / TASK_PAIRS), ceil(rows / TASK_ROWS))
+    tasks, copying = max(ceil(pairs / TASK_PAIRS), ceil(rows / TASK_ROWS)), ceil(pairs / BLOCK_ROWS / TASK_ROWS)
     hot = F.broadcast(hot) if keys <= BROADCAST_KEYS else hot
-
     place = StructType([*(StructField(f"k{i}", left.schema[k].dataType) for i, k in enumerate(lk)), StructField("a", LongType()), StructField("b", LongType())])
 
     def dealt(side: DataFrame, name: str, keys: list[str], cell: str, cut: str, copied: str) -> DataFrame:
         """The side's rows with a cell, once for each block that the other side has of their key, in `tasks` parts. One column holds the cell: parts stay, also where a key is constant and folded away."""
         many = lambda c: F.coalesce(f"{new}{c}", F.lit(1))
         numbered = _numbered(side.dropna(subset=keys), f"{new}n").join(hot, same(keys, hk), "left")
+        numbered = numbered.repartition(copying, f"{new}n") if copying > 1 else numbered  # a small file is one task, and its rows' copies may be many
         block, blocks = F.pmod(f"{new}n", many(cut)), F.explode(F.sequence(F.lit(0).cast("long"), many(copied) - 1))
         cells = numbered.select(f"{name}.*", *keys, block.alias(f"{new}{cut}"), blocks.alias(f"{new}{copied}"))
         return cells.select(f"{name}.*", F.struct(*keys, f"{new}a", f"{new}b").cast(place).alias(cell)).repartition(tasks, cell)

@@ -195,7 +195,7 @@ def test_joins_in_blocks_behind_a_shuffle_and_of_one_table(spark, small_blocks):
     assert compile_plan(spark, nested, {"t": t}).count() == 300 * 75 * 2
 
 
-@pytest.mark.parametrize("how", ["right", "full", "inner"])
+@pytest.mark.parametrize("how", ["left", "right", "full", "inner"])
 def test_pairs_of_a_key_are_dealt_out(spark, monkeypatch, how):
     """One key, 90,000 pairs: no task gives a quarter of them. Equal rows as well."""
     from quernstone.operators import join
